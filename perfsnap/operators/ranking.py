@@ -33,20 +33,37 @@ def grouped_row_number(
     order: Sequence[Column],
     name: str,
     max_group_rows: int = MAX_GROUP_ROWS,
+    spread: bool | None = None,
 ) -> DataFrame:
     """``row_number`` per key, exact for groups of any size.
 
     The largest group is measured first. Groups that fit one task are numbered
     by a window; otherwise rows are range-partitioned by key and order, so one
     group may span many tasks, and numbers are offsets plus local positions.
-    ``order`` must be total for the numbering to be repeatable.
+    ``order`` must be total for the numbering to be repeatable. A caller that
+    has measured the groups already passes the outcome as ``spread``.
     """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= max_group_rows:
+    if spread is None:
+        spread = has_large_group([(df, keys)], max_group_rows)
+    if not spread:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return _number_by_ranges(df, keys, order, name)
 
 
+def has_large_group(
+    groups: Sequence[tuple[DataFrame, Sequence[str]]], max_group_rows: int = MAX_GROUP_ROWS
+) -> bool:
+    """Whether any group of any of the frames has more rows than one task should sort.
+
+    One job over all frames; each is counted where it lies before the shuffle.
+    """
+    largest = None
+    for df, keys in groups:
+        n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+        largest = n if largest is None else largest.unionByName(n)
+    return (largest.agg(F.max("n")).first()[0] or 0) > max_group_rows
+
+
 def _number_by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     shared_dir(df.sparkSession)
     # The cut points come from a sample, so they are drawn once and kept: both
