@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perfsnap.session import shared_dir
+from perfsnap.session import written
 
 MAX_GROUP_ROWS = 2_000_000
 
@@ -65,13 +65,10 @@ def has_large_group(
 
 
 def _number_by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
-    shared_dir(df.sparkSession)
-    # The cut points come from a sample, so they are drawn once and kept: both
-    # the sizes and the rows below read the checkpointed pieces.
-    pieces = (
-        df.repartitionByRange(*[F.col(k) for k in keys], *order)
-        .withColumn("_piece", F.spark_partition_id())
-        .checkpoint()
+    # The cut points come from a sample, so they are drawn once and the pieces
+    # kept: both the sizes and the rows below read the written table.
+    pieces = written(
+        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_piece", F.spark_partition_id()), "pieces"
     )
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

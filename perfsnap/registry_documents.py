@@ -143,7 +143,7 @@ def snapshot_docs(spark, sf_dir):
     return out.select("db_id", "snap_id", "instance", F.col("page").cast("bigint").alias("page"), "content")
 
 
-HOURLY_PAGE = 2
+HOURLY_PAGE = 3
 
 HOURLY_DOCS = f"""
 SELECT p.db_id, cast(p.hour as int) AS hour, p.page, replace(snaps, ', ', ',') AS snap_ids,
