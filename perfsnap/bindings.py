@@ -19,8 +19,8 @@ SELECT concat('DB', cast(l_suppkey as varchar(20))) AS db_id,
  CASE WHEN l_partkey % 5 = 0 AND l_linenumber = 1 THEN 2 ELSE 1 END AS PLANS,
  l_linenumber AS ELAP_RANK,
  cast(l_quantity as int) AS EXECS, cast(l_quantity as int)*100 AS BUFFER_GETS, cast(l_quantity as int)*3 AS ROWS_PROC,
- cast(cast(l_extendedprice as decimal(12,2)) * 0.0002 as decimal(18,6)) AS ELAP_S,
- cast(cast(l_extendedprice as decimal(12,2)) * 0.0002 * (1 - 6*cast(l_discount as decimal(4,2))) as decimal(18,8)) AS CPU_T_S,
+ cast(cast(l_extendedprice as decimal(12,2)) * 0.0002 as decimal(8,6)) AS ELAP_S,
+ cast(cast(l_extendedprice as decimal(12,2)) * 0.0002 * (1 - 6*cast(l_discount as decimal(4,2))) as decimal(8,6)) AS CPU_T_S,
  cast(l_tax as decimal(4,2))*100 AS IO_WAIT, cast(l_quantity as int) AS READ_MB,
  cast(l_tax as decimal(4,2))*5 AS PHY_READ_GB, cast(l_discount as decimal(4,2))*40 AS DIRECT_W_GB,
  l_orderkey, l_partkey
@@ -31,21 +31,21 @@ MAIN_METRICS = """
 SELECT concat('DB', cast(user_id as varchar(20))) AS db_id,
  cast(3000 + (day(ts)-1)*24 + hour(ts) as bigint) AS snap, cast(event_id % 2 + 1 as int) AS inst, 60 AS dur_m,
  date_trunc('hour', ts) + INTERVAL 1 HOUR AS end_ts,
- sum(cast(value as decimal(12,2))) AS os_cpu, max(cast(value as decimal(12,2))) AS os_cpu_max, count(*) AS exec_s
+ sum(cast(value as decimal(8,2))) AS os_cpu, max(cast(value as decimal(8,2))) AS os_cpu_max, count(*) AS exec_s
 FROM events GROUP BY 1,2,3,4,5
 """
 
 ACTIVE_SESSIONS = """
 SELECT concat('DB', cast(user_id as varchar(20))) AS db_id,
  cast(3000 + (day(ts)-1)*24 + hour(ts) as bigint) AS SNAP_ID, event_type AS WAIT_CLASS,
- sum(cast(value as decimal(12,2))) AS AVG_SESS
+ sum(cast(value as decimal(8,2))) AS AVG_SESS
 FROM events GROUP BY 1,2,3
 """
 
 TIMED_EVENTS = """
 SELECT concat('DB', cast(user_id as varchar(20))) AS db_id,
  cast(3000 + (day(ts)-1)*24 + hour(ts) as bigint) AS SNAP_ID, concat(event_type, ' u', cast(event_id % 3 as varchar(5))) AS EVENT_NAME,
- event_type AS WAIT_CLASS, count(*) AS PCTDBT, sum(cast(value as decimal(12,2))) AS TOTAL_TIME_S
+ event_type AS WAIT_CLASS, count(*) AS PCTDBT, sum(cast(value as decimal(8,2))) AS TOTAL_TIME_S
 FROM events GROUP BY 1,2,3,4
 """
 

@@ -21,8 +21,15 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove white space of every kind from both ends."""
-    return F.btrim(col(c), F.lit(WHITESPACE))
+    """Remove white space of every kind from both ends.
+
+    Padding is nearly always plain spaces, which the first trim takes off fast.
+    """
+    return F.btrim(F.trim(col(c)), F.lit(WHITESPACE))
+
+
+def is_blank(c: Column | str) -> Column:
+    return ~col(c).rlike("[^" + WHITESPACE + "]")
 
 
 def tokens(c: Column | str) -> Column:

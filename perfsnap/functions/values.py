@@ -24,20 +24,28 @@ FREE_TIMES = (
 )
 
 
+def stripped_number(text: Column) -> Column:
+    """DOUBLE out of text without outer white space, or null if it is not wholly a number."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def to_number(c: Column | str) -> Column:
     """DOUBLE, or null for anything that is not wholly a number."""
-    text = strip(col(c).cast("string"))
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return stripped_number(strip(col(c).cast("string")))
 
 
 def to_number_or_zero(c: Column | str) -> Column:
     return F.coalesce(to_number(c), F.lit(0.0))
 
 
+def whole_part(n: Column) -> Column:
+    """A number as BIGINT, or null if it has a fraction."""
+    return F.when(n == F.rint(n), n.try_cast("bigint"))
+
+
 def to_whole(c: Column | str) -> Column:
     """BIGINT, or null for fractions and non-numbers."""
-    n = to_number(c)
-    return F.when(n == F.floor(n), n.try_cast("bigint"))
+    return whole_part(to_number(c))
 
 
 def to_snapshot_time(c: Column | str) -> Column:

@@ -47,11 +47,19 @@ def rows_in_requests(df: DataFrame, requests: DataFrame, snap: str = "SNAP_ID",
     return df.join(requests, list(keys)).filter(F.col(snap).between(F.col("start_snap"), F.col("end_snap")))
 
 
-def _first(c: str, order: Sequence[str] | None) -> Column:
-    """First non-null value in file order, or the smallest where rows have no order."""
+def _first_names(df: DataFrame, by: Sequence[str], order: Sequence[str] | None) -> DataFrame:
+    """First non-null schema, module and command per SQL, in file order or else the smallest.
+
+    The few combinations of names are made distinct first: on texts the
+    aggregates sort their input, and then they sort little.
+    """
+    names = {"schema": "PARSING_SCHEMA_NAME", "module": "MODULE", "command": "COMMAND_NAME"}
     if not order:
-        return F.min(c)
-    return F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))
+        return df.select(*by, *names.values()).distinct().groupBy(*by).agg(*[F.min(c).alias(n) for n, c in names.items()])
+    seen = df.groupBy(*by, *names.values()).agg(F.min(F.struct(*order)).alias("_seen"))
+    return seen.groupBy(*by).agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_seen"))).alias(n) for n, c in names.items()]
+    )
 
 
 def sql_trend_over_range(
@@ -63,15 +71,14 @@ def sql_trend_over_range(
 ) -> DataFrame:
     """Totals per SQL over a snapshot range. ``ranked_by_elapsed`` sorts them."""
     df = in_snap_range(top_sql, start_snap, end_snap).filter(F.col("SQL_ID").isNotNull())
-    return df.groupBy(*keys, "SQL_ID").agg(
-        _first("PARSING_SCHEMA_NAME", order).alias("schema"),
-        _first("MODULE", order).alias("module"),
-        _first("COMMAND_NAME", order).alias("command"),
+    by = [*keys, "SQL_ID"]
+    totals = df.groupBy(*by).agg(
         F.count_distinct("SNAP_ID").alias("snaps"),
         *[F.sum(c).alias(name) for name, c in TREND_SUMS.items()],
         F.max("PLAN_CHANGE").alias("max_plan_changes"),
         F.max("PLANS").alias("plans_seen"),
     )
+    return _first_names(df, by, order).join(totals, by)
 
 
 def by_elapsed() -> list[Column]:
@@ -107,27 +114,16 @@ def detect_sql_plan_changes(
     end_snap: int | None = None,
     keys: Sequence[str] = DB,
 ) -> DataFrame:
-    """SQL with signs of more than one plan, with its schemas, modules and hashes.
-
-    SQL is filtered on plain aggregates first; only then are the distinct
-    values of the SQL that remain put into lists.
-    """
+    """SQL with signs of more than one plan, with its schemas, modules and hashes."""
     df = in_snap_range(top_sql, start_snap, end_snap).filter(F.col("SQL_ID").isNotNull())
     by = [*keys, "SQL_ID"]
-    changed = (
-        df.groupBy(*by)
-        .agg(
-            F.min("PLANS").alias("min_plans"),
-            F.max("PLANS").alias("max_plans"),
-            F.max("PLAN_CHANGE").alias("max_plan_change"),
-            F.min("PLAN_HASH").alias("_low_hash"),
-            F.max("PLAN_HASH").alias("_high_hash"),
-            F.count_distinct("SNAP_ID").alias("snaps"),
-            F.sum("ELAP_S").alias("total_elapsed_s"),
-            F.sum("CPU_T_S").alias("total_cpu_s"),
-        )
-        .filter((F.col("max_plan_change") > 0) | (F.col("max_plans") > 1) | (F.col("_low_hash") != F.col("_high_hash")))
-        .drop("_low_hash", "_high_hash")
+    totals = df.groupBy(*by).agg(
+        F.min("PLANS").alias("min_plans"),
+        F.max("PLANS").alias("max_plans"),
+        F.max("PLAN_CHANGE").alias("max_plan_change"),
+        F.count_distinct("SNAP_ID").alias("snaps"),
+        F.sum("ELAP_S").alias("total_elapsed_s"),
+        F.sum("CPU_T_S").alias("total_cpu_s"),
     )
 
     def listed(kind: str) -> Column:
@@ -138,7 +134,8 @@ def detect_sql_plan_changes(
         .groupBy(*by)
         .agg(listed("schema").alias("schemas"), listed("module").alias("modules"), listed("plan").alias("plan_hashes"))
     )
-    return changed.join(lists, by)
+    signs = (F.col("max_plan_change") > 0) | (F.col("max_plans") > 1) | (F.size("plan_hashes") > 1)
+    return totals.join(lists, by).filter(signs)
 
 
 def plan_change_members(top_sql: DataFrame, keys: Sequence[str] = DB) -> DataFrame:
@@ -164,30 +161,29 @@ def plan_change_members(top_sql: DataFrame, keys: Sequence[str] = DB) -> DataFra
 def summarize_top_sql(top_sql: DataFrame, keys: Sequence[str] = DB) -> DataFrame:
     """One row per snapshot: totals, distinct SQL and schemas, usual module, heaviest SQL."""
     by = [*keys, "SNAP_ID"]
-    heavy = F.struct("SQL_ID", "ELAP_S", "CPU_T_S", "EXECS", "BUFFER_GETS")
-    has_rank = "elap_rank" in {c.lower() for c in top_sql.columns}
-    # Smallest rank first, rows without one last, then the longest elapsed.
-    unranked = F.col("ELAP_RANK").isNull() if has_rank else F.lit(True)
-    rank = F.col("ELAP_RANK").cast("int") if has_rank else F.lit(None).cast("int")
-    place = F.struct(unranked.alias("u"), rank.alias("r"), (-F.col("ELAP_S")).alias("e"), F.col("SQL_ID").alias("s"))
-    base = top_sql.groupBy(*by).agg(
+    totals = top_sql.groupBy(*by).agg(
         F.sum("ELAP_S").alias("total_elapsed_s"),
         F.sum("CPU_T_S").alias("total_cpu_s"),
         F.sum("EXECS").alias("total_execs"),
         F.count_distinct("SQL_ID").alias("unique_sql"),
         F.count_distinct("PARSING_SCHEMA_NAME").alias("unique_schemas"),
         F.count_if(F.col("PLAN_CHANGE") > 0).alias("plan_change_rows"),
-        F.min_by(heavy, place).alias("_top"),
     )
-    return base.join(usual_value(top_sql, by, "MODULE", "top_module"), by, "left").select(
+    ranked = [c for c in top_sql.columns if c.lower() == "elap_rank"]
+    heaviest_sql = first_rows(
+        top_sql.select(*by, "SQL_ID", "ELAP_S", "CPU_T_S", "EXECS", "BUFFER_GETS", *ranked), by, rank_order(top_sql), 1
+    ).select(
         *by,
-        "total_elapsed_s", "total_cpu_s", "total_execs", "unique_sql", "unique_schemas", "plan_change_rows",
-        F.coalesce("top_module", F.lit("N/A")).alias("top_module"),
-        F.col("_top.SQL_ID").alias("top_sql_id"),
-        F.col("_top.ELAP_S").alias("top_elapsed_s"),
-        F.col("_top.CPU_T_S").alias("top_cpu_s"),
-        F.col("_top.EXECS").alias("top_execs"),
-        F.col("_top.BUFFER_GETS").alias("top_buffer_gets"),
+        F.col("SQL_ID").alias("top_sql_id"),
+        F.col("ELAP_S").alias("top_elapsed_s"),
+        F.col("CPU_T_S").alias("top_cpu_s"),
+        F.col("EXECS").alias("top_execs"),
+        F.col("BUFFER_GETS").alias("top_buffer_gets"),
+    )
+    return (
+        totals.join(heaviest_sql, by)
+        .join(usual_value(top_sql, by, "MODULE", "top_module"), by, "left")
+        .withColumn("top_module", F.coalesce("top_module", F.lit("N/A")))
     )
 
 

@@ -10,6 +10,7 @@ left out and no row grows with the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from perfsnap.functions.text import lines, number_text, says, shown, shown_number
 from perfsnap.operators import analytics, rollups
 from perfsnap.operators.ranking import first_rows, grouped_row_number, has_large_group
+from perfsnap.session import written
 from perfsnap.sources.schemas import METRIC_NUMBERS
 
 DB = ("db_id",)
@@ -63,30 +65,29 @@ def as_documents(df: DataFrame, doc_type: str, extra: Sequence[str] = ()) -> Dat
 
 
 def _paged(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], kind: str, page_rows: int, spread: bool, separator: str,
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], text: Column, kind: str, page_rows: int, spread: bool,
+    separator: str,
 ) -> DataFrame:
-    """Texts of each group joined in order, at most ``page_rows`` to a page."""
-    ranked = grouped_row_number(df, by, [*order, F.asc("text")], "_n", spread=spread)
-    place = F.struct("_n", "text")
+    """Texts of each group joined in order, at most ``page_rows`` to a page.
+
+    Rows are numbered as they are and put into words afterwards, so figures are
+    shuffled rather than sentences.
+    """
+    ranked = grouped_row_number(df, by, [*order, *[F.asc(c) for c in df.columns]], "_n", spread=spread)
+    place = F.struct("_n", text.alias("text"))
     return (
         ranked.withColumn("page", F.floor((F.col("_n") - 1) / page_rows).cast("int"))
         .groupBy(*by, "page")
         .agg(F.sort_array(F.collect_list(place)).alias("_rows"))
         .select(
-            *by, "page", F.lit(kind).alias("kind"),
-            F.array_join(F.transform("_rows", lambda r: r["text"]), separator).alias("text"),
+            *by, "page", F.array_join(F.transform("_rows", lambda r: r["text"]), separator).alias(kind)
         )
     )
 
 
-def _side_by_side(parts: Sequence[DataFrame], by: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+def _side_by_side(parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     """Pages of several lists as columns, one row per page number."""
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    return stacked.groupBy(*by, "page").agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("text"))).alias(k) for k in kinds]
-    )
+    return reduce(lambda left, right: left.join(right, [*by, "page"], "full"), parts)
 
 
 def _file_order(df: DataFrame, otherwise: Sequence[str]) -> list[Column]:
@@ -234,14 +235,12 @@ def snapshot_documents(
     by = [*keys, "SNAP_ID"]
     spread = has_large_group([(sessions, by), (waits, by), (top_sql, by)])
     parts = [
-        _paged(sessions.withColumn("text", session_text("AVG_SESS")), by, _file_order(sessions, ["WAIT_CLASS"]),
+        _paged(sessions, by, _file_order(sessions, ["WAIT_CLASS"]), session_text("AVG_SESS"),
                "sessions", page_rows, spread, "\n"),
-        _paged(waits.withColumn("text", wait_text()), by, _file_order(waits, ["EVENT_NAME"]),
-               "waits", page_rows, spread, "\n"),
-        _paged(top_sql.withColumn("text", sql_text(top_sql)), by, analytics.rank_order(top_sql, sql_tie),
-               "sqls", page_rows, spread, "\n"),
+        _paged(waits, by, _file_order(waits, ["EVENT_NAME"]), wait_text(), "waits", page_rows, spread, "\n"),
+        _paged(top_sql, by, analytics.rank_order(top_sql, sql_tie), sql_text(top_sql), "sqls", page_rows, spread, "\n"),
     ]
-    pages = _side_by_side(parts, by, ["sessions", "waits", "sqls"]).withColumnRenamed("SNAP_ID", "snap")
+    pages = _side_by_side(parts, by).withColumnRenamed("SNAP_ID", "snap")
     summary = analytics.summarize_top_sql(top_sql, keys).select(
         *keys, F.col("SNAP_ID").alias("snap"), summary_text().alias("summary")
     )
@@ -334,35 +333,34 @@ def hourly_documents(
     have = {c.lower() for c in metrics.columns}
     m = metrics.withColumns({c: F.lit(None).cast("double") for c in METRIC_NUMBERS if c not in have})
     timed = m.filter(F.col("end").isNotNull()).withColumn("hour", F.hour("end"))
-    load = timed.withColumn(
-        "text",
-        says(
-            "Snapshot ", shown("snap"), ", instance ", shown("inst"), ": OS CPU ", shown_number("os_cpu"), " % (peak ",
-            shown_number("os_cpu_max"), " %), DB time on CPU ", shown_number("db_cpu_ratio"), " %, waiting ",
-            shown_number("db_wait_ratio"), " %, sessions ", shown_number("aas"), ", executions/s ",
-            shown_number("exec_s"), ", logons/s ", shown_number("logons_s"),
-        ),
-    ).select(*by, "snap", "inst", "text")
-    hour_snaps = rollups.hours_of_snaps(metrics, keys)
-    snaps = hour_snaps.withColumn("text", F.col("SNAP_ID").cast("string"))
-    timed_waits = waits.join(hour_snaps, [*keys, "SNAP_ID"]).withColumn("text", wait_text())
-    mem = rollups.hourly_memory(memory, metrics, keys).withColumn(
-        "text",
-        says("Instance ", shown("INSTANCE_NUMBER"), ": SGA ", shown_number("avg_sga"), " GB, PGA ",
-             shown_number("avg_pga"), " GB"),
-    )
-    aas = rollups.hourly_active_sessions(sessions, metrics, keys).withColumn("text", session_text("avg_sess"))
+    load_text = says(
+        "Snapshot ", shown("snap"), ", instance ", shown("inst"), ": OS CPU ", shown_number("os_cpu"), " % (peak ",
+        shown_number("os_cpu_max"), " %), DB time on CPU ", shown_number("db_cpu_ratio"), " %, waiting ",
+        shown_number("db_wait_ratio"), " %, sessions ", shown_number("aas"), ", executions/s ",
+        shown_number("exec_s"), ", logons/s ", shown_number("logons_s"),
+    )
+    load = timed.select(
+        *by, "snap", "inst", "os_cpu", "os_cpu_max", "db_cpu_ratio", "db_wait_ratio", "aas", "exec_s", "logons_s"
+    )
+    snaps = rollups.hours_of_snaps(metrics, keys)
+    timed_waits = waits.join(snaps, [*keys, "SNAP_ID"])
+    memory_text = says(
+        "Instance ", shown("INSTANCE_NUMBER"), ": SGA ", shown_number("avg_sga"), " GB, PGA ", shown_number("avg_pga"), " GB"
+    )
+    mem = rollups.hourly_memory(memory, metrics, keys)
+    aas = rollups.hourly_active_sessions(sessions, metrics, keys)
     # Memory and session lists have one row per instance and wait class; the
     # others grow with the days covered.
     spread = has_large_group([(load, by), (timed_waits, by)])
     parts = [
-        _paged(snaps, by, [F.col("SNAP_ID")], "snaps", page_rows, spread, ", "),
-        _paged(load, by, [F.col("snap"), F.col("inst")], "load", page_rows, spread, "\n"),
-        _paged(mem, by, [F.col("INSTANCE_NUMBER")], "memory", page_rows, False, "\n"),
-        _paged(aas, by, [F.col("WAIT_CLASS")], "sessions", page_rows, False, "\n"),
-        _paged(timed_waits, by, [F.col("SNAP_ID"), *_file_order(waits, ["EVENT_NAME"])], "waits", page_rows, spread, "\n"),
+        _paged(snaps, by, [F.col("SNAP_ID")], F.col("SNAP_ID").cast("string"), "snaps", page_rows, spread, ", "),
+        _paged(load, by, [F.col("snap"), F.col("inst")], load_text, "load", page_rows, spread, "\n"),
+        _paged(mem, by, [F.col("INSTANCE_NUMBER")], memory_text, "memory", page_rows, False, "\n"),
+        _paged(aas, by, [F.col("WAIT_CLASS")], session_text("avg_sess"), "sessions", page_rows, False, "\n"),
+        _paged(timed_waits, by, [F.col("SNAP_ID"), *_file_order(waits, ["EVENT_NAME"])], wait_text(), "waits", page_rows,
+               spread, "\n"),
     ]
-    pages = _side_by_side(parts, by, ["snaps", "load", "memory", "sessions", "waits"])
+    pages = _side_by_side(parts, by)
     joined = (
         pages.join(rollups.hour_of_day_rollup(m, keys), by)
         .join(os_dim.select(*keys, "db_name", "platform_name"), list(keys), "left")
@@ -464,9 +462,10 @@ def plan_change_text(
         "; largest change flag ", shown_number("max_plan_change"), "; in ", shown("snaps"), " snapshots; elapsed ",
         number_text("total_elapsed_s", 1), " s; CPU ", number_text("total_cpu_s", 1), " s",
     )
-    rows = changes.withColumn("text", text).select(*keys, "SQL_ID", "text")
-    spread = has_large_group([(rows, keys)])
-    pages = _paged(rows, keys, [F.col("SQL_ID")], "changes", page_rows, spread, "\n").drop("kind")
+    # Used for the totals, the group sizes and the pages, so computed once.
+    changes = written(changes, "changes")
+    spread = has_large_group([(changes, keys)])
+    pages = _paged(changes, keys, [F.col("SQL_ID")], text, "text", page_rows, spread, "\n")
     totals = changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_changed"))
     body = lines(
         says("SQL with changing plans in ", _range_words(), _part(F.col("page")), ":"),

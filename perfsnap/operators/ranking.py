@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,11 +58,8 @@ def has_large_group(
 
     One job over all frames; each is counted where it lies before the shuffle.
     """
-    largest = None
-    for df, keys in groups:
-        n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
-        largest = n if largest is None else largest.unionByName(n)
-    return (largest.agg(F.max("n")).first()[0] or 0) > max_group_rows
+    sizes = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("n") for df, keys in groups]
+    return (reduce(DataFrame.unionByName, sizes).agg(F.max("n")).first()[0] or 0) > max_group_rows
 
 
 def _number_by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:

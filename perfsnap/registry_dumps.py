@@ -10,7 +10,7 @@ from perfsnap.operators import analytics, cleaning
 from perfsnap.plans import pipeline
 from perfsnap.registry import TREND, metrics, plain, query, table, top_sql, view
 from perfsnap.registry_documents import ALL_VIEWS, HOURLY_SQL, SNAPSHOT_DOCS, SNAPSHOT_PAGE
-from perfsnap.session import scratch_path
+from perfsnap.session import scratch_path, written
 from perfsnap.sinks import sections as exports
 from perfsnap.sources import dumps, render, schemas
 
@@ -21,11 +21,16 @@ SQL_WIDTHS = {
 }
 
 
+def kept_lines(lines: DataFrame) -> DataFrame:
+    """Rendered lines as a table, a part of a dump in one piece, as files would be."""
+    return written(lines.repartition("source_file", "split_start"), "lines")
+
+
 def sql_lines(spark, sf_dir) -> DataFrame:
-    """One dump per database; a part of it for every thousand orders."""
+    """One dump per database; a part of it for every twenty thousand orders."""
     order = F.col("l_orderkey") * 8 + F.col("ELAP_RANK") + 10
     return render.section_lines(
-        top_sql(spark, sf_dir), schemas.TOP_SQL, SQL_WIDTHS, F.col("db_id"), F.floor(F.col("l_orderkey") / 1000), order
+        top_sql(spark, sf_dir), schemas.TOP_SQL, SQL_WIDTHS, F.col("db_id"), F.floor(F.col("l_orderkey") / 20000), order
     )
 
 
@@ -34,7 +39,7 @@ SELECT db_id AS source_file, cast(SNAP_ID as varchar) AS SNAP_ID, SQL_ID, PARSIN
  PLAN_HASH, cast(EXECS as varchar) AS EXECS, cast(ELAP_S as varchar) AS ELAP_S, cast(CPU_T_S as varchar) AS CPU_T_S, cast(NULL as varchar) AS ACTION
 FROM v_top_sql""", "v_top_sql"))
 def dump_roundtrip_fixed(spark, sf_dir):
-    lines = sql_lines(spark, sf_dir)
+    lines = kept_lines(sql_lines(spark, sf_dir))
     names = ["SNAP_ID", "SQL_ID", "PARSING_SCHEMA_NAME", "MODULE", "PLAN_HASH", "EXECS", "ELAP_S", "CPU_T_S", "ACTION"]
     return dumps.raw_section(lines, dumps.index_dumps(lines), schemas.TOP_SQL, names).drop("line_pos")
 
@@ -43,10 +48,10 @@ def dump_roundtrip_fixed(spark, sf_dir):
     TREND.format(keys="db_id", source="v_top_sql").replace("min(MODULE)", "coalesce(min(coalesce(MODULE, '')), '')"), "v_top_sql"))
 def dump_sql_trend(spark, sf_dir):
     """SQL totals from the dumps; the parsed DOUBLEs add up to the exact sums once rounded."""
-    lines = sql_lines(spark, sf_dir)
+    lines = kept_lines(sql_lines(spark, sf_dir))
     typed = dumps.read_section(lines, dumps.index_dumps(lines), schemas.TOP_SQL).withColumnRenamed("source_file", "db_id")
     trend = analytics.sql_trend_over_range(typed)
-    places = {"total_cpu_s": 8, "total_elapsed_s": 6, "total_io_wait_s": 2, "total_physical_read_gb": 2, "total_direct_w_gb": 2}
+    places = {"total_cpu_s": 6, "total_elapsed_s": 6, "total_io_wait_s": 2, "total_physical_read_gb": 2, "total_direct_w_gb": 2}
     whole = {"total_execs": "bigint", "total_buffer_gets": "bigint", "total_read_mb": "bigint", "max_plan_changes": "int",
              "plans_seen": "int"}
     return trend.withColumns(
@@ -75,7 +80,7 @@ def section(df: DataFrame, name: str, widths: dict[str, int], key: str, spaced:
 SELECT concat('N', cast(c_nationkey as varchar)) AS source_file, cast(c_custkey as varchar) AS C_KEY, c_name AS C_NAME,
  c_mktsegment AS C_SEGMENT FROM customer""")
 def dump_roundtrip_ws(spark, sf_dir):
-    lines = section(customers(spark, sf_dir), "CUSTOMERS", CUSTOMER_WIDTHS, "C_KEY", spaced=True)
+    lines = kept_lines(section(customers(spark, sf_dir), "CUSTOMERS", CUSTOMER_WIDTHS, "C_KEY", spaced=True))
     return dumps.read_any_section(lines, dumps.index_dumps(lines), "customers").drop("line_pos")
 
 
@@ -101,13 +106,13 @@ UNION ALL SELECT concat('N', cast(c_nationkey as varchar)), 'CUSTOMERS', 3, coun
 
 @query("block_catalog", f"SELECT source_file, section, count(*) AS n_blocks FROM ({BLOCKS}) b GROUP BY 1,2")
 def block_catalog(spark, sf_dir):
-    blocks = dumps.block_catalog(dumps.find_segments(three_sections(spark, sf_dir)))
+    blocks = dumps.block_catalog(dumps.find_segments(kept_lines(three_sections(spark, sf_dir))))
     return blocks.groupBy("source_file", "section").agg(F.count(F.lit(1)).alias("n_blocks"))
 
 
 @query("section_profile", f"SELECT source_file, section, arg_max(n_rows, n) AS n_rows FROM ({BLOCKS}) b GROUP BY 1,2")
 def section_profile(spark, sf_dir):
-    lines = three_sections(spark, sf_dir)
+    lines = kept_lines(three_sections(spark, sf_dir))
     return dumps.section_profile(dumps.parse_cells(lines, dumps.index_dumps(lines)))[0]
 
 
@@ -120,7 +125,7 @@ SELECT source_file, section, row_text FROM (
  FROM (SELECT *, max(CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY c_nationkey) AS again FROM customer) c
  WHERE c_acctbal >= 0 OR again = 0) t WHERE n <= 10""")
 def section_preview(spark, sf_dir):
-    lines = three_sections(spark, sf_dir)
+    lines = kept_lines(three_sections(spark, sf_dir))
     head = dumps.section_profile(dumps.parse_cells(lines, dumps.index_dumps(lines)), 10)[1]
     return head.select("source_file", "section", F.array_join("cells", "|").alias("row_text"))
 
@@ -130,7 +135,7 @@ SELECT f.source_file, f.n_lines, count(n) AS n_blocks, CASE WHEN count(*) FILTER
 FROM (SELECT source_file, cast(sum(n_rows + 4) as bigint) AS n_lines FROM ({BLOCKS}) b GROUP BY 1) f JOIN ({BLOCKS}) g ON f.source_file = g.source_file
 GROUP BY 1,2""")
 def parse_status(spark, sf_dir):
-    lines = three_sections(spark, sf_dir)
+    lines = kept_lines(three_sections(spark, sf_dir))
     status = dumps.parse_status(lines, dumps.index_dumps(lines, last_only=False), ["customers", "suppliers"])
     return status.select("source_file", "n_lines", "n_blocks", F.array_join("missing", ",").alias("missing"))
 
@@ -177,8 +182,11 @@ SELECT replace(m.db_id, 'DB', '') AS db_id, snap, inst, cast(dur_m as bigint) AS
 WHERE m.db_id IN (SELECT db_id FROM v_os_info)""", "v_main_metrics", "v_os_info"))
 def dump_files_metrics(spark, sf_dir):
     """Written to text files, read back, typed, and named by the database id in each file."""
-    tables = pipeline.read_tables(spark, dump_files(spark, sf_dir) + "/*")
-    return plain(tables.metrics.select(
+    lines = dumps.read_dump_lines(spark, dump_files(spark, sf_dir) + "/*")
+    index = dumps.index_dumps(lines, [schemas.OS_INFORMATION, schemas.MAIN_METRICS])
+    owner = cleaning.os_wide(dumps.read_section(lines, index, schemas.OS_INFORMATION), ["source_file"])
+    m = dumps.read_section(lines, index, schemas.MAIN_METRICS)
+    return plain(m.join(owner.select("source_file", F.col("dbid").alias("db_id")), "source_file").select(
         "db_id", "snap", "inst", "dur_m", "end", "start", "os_cpu", "os_cpu_max", "exec_s", "read_mb_s"
     ))
 
@@ -230,7 +238,7 @@ def export_sections(spark, sf_dir):
         F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("dump"), F.col("s_suppkey").alias("S_KEY"),
         F.col("s_name").alias("S_NAME"),
     )
-    lines = render.stack_sections([c, section(s, "SUPPLIERS", {"S_KEY": 10, "S_NAME": 20}, "S_KEY")])
+    lines = kept_lines(render.stack_sections([c, section(s, "SUPPLIERS", {"S_KEY": 10, "S_NAME": 20}, "S_KEY")]))
     index = dumps.index_dumps(lines)
     found = {n: dumps.read_any_section(lines, index, n) for n in ("CUSTOMERS", "SUPPLIERS")}
     written = exports.export_sections(found, scratch_path(spark, "sections"), "csv")
