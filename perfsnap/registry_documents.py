@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from perfsnap.bindings import with_views
 from perfsnap.operators import analytics, cleaning, context, docs, prompts, retrieval, rollups
+from perfsnap.plans import pipeline
 from perfsnap.registry import LABELLED, PERIOD, PLAN_CHANGES, TREND, YEARLY, metrics, plain, query, table, top_sql, view, yearly
 from perfsnap.session import scratch_path
 from perfsnap.sinks import documents as store
@@ -386,17 +387,18 @@ def hash_embed_topk(spark, sf_dir):
     return retrieval.top_similar(stored, asked, retrieval.SNAPSHOT_K)
 
 
-@query("user_embed_topk", """
-SELECT * FROM (SELECT b.item_id AS query_id, d.doc_id, round(list_cosine_similarity(d.v, b.v), 6) AS score,
+LETTERS = "etaoinsr"
+COUNTED = "[cast(len(text) - len(replace(text, c, '')) as double) FOR c IN string_split('e,t,a,o,i,n,s,r', ',')]"
+USER_HITS = f"""(SELECT * FROM (SELECT b.item_id AS query_id, d.doc_id, d.text, round(list_cosine_similarity(d.v, b.v), 6) AS score,
  cast(row_number() OVER (PARTITION BY b.item_id ORDER BY round(list_cosine_similarity(d.v, b.v), 6) DESC, d.doc_id) as int) AS rank
-FROM (SELECT doc_id, [cast(len(text) - len(replace(text, c, '')) as double) FOR c IN string_split('e,t,a,o,i,n,s,r', ',')] AS v FROM documents
- WHERE length(regexp_replace(text, '[^etaoinsr]', '', 'g')) > 0) d,
- (SELECT item_id, [cast(len(text) - len(replace(text, c, '')) as double) FOR c IN string_split('e,t,a,o,i,n,s,r', ',')] AS v FROM benchmark) b) t
-WHERE rank <= 4""")
-def user_embed_topk(spark, sf_dir):
-    """The same with a user's own vector function: counts of eight letters."""
+FROM (SELECT doc_id, text, {COUNTED} AS v FROM documents WHERE length(regexp_replace(text, '[^{LETTERS}]', '', 'g')) > 0) d,
+ (SELECT item_id, {COUNTED} AS v FROM benchmark) b) t WHERE rank <= 4)"""
+
+
+def letter_vectors(spark, sf_dir):
+    """Documents and benchmark passages with a user's own vectors: counts of eight letters."""
     def letters(texts):
-        return [[float(t.count(c)) for c in "etaoinsr"] for t in texts]
+        return [[float(t.count(c)) for c in LETTERS] for t in texts]
 
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     stored = retrieval.embed(d, letters).filter(F.exists("embedding", lambda x: x > 0))
@@ -404,7 +406,21 @@ def user_embed_topk(spark, sf_dir):
         table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content")),
         letters, vector="query_embedding",
     )
-    return retrieval.top_similar(stored, asked, retrieval.SNAPSHOT_K)
+    return stored, asked
+
+
+@query("user_embed_topk", f"SELECT query_id, doc_id, score, rank FROM {USER_HITS} h")
+def user_embed_topk(spark, sf_dir):
+    return retrieval.top_similar(*letter_vectors(spark, sf_dir), retrieval.SNAPSHOT_K)
+
+
+@query("question_contexts", f"""
+SELECT query_id, count(*) AS n_docs, string_agg(concat('[DOC ', rank, ']', chr(10),
+ CASE WHEN length(text) > 5000 THEN text[1:5000] || chr(10) || '...[TRUNCATED]...' ELSE text END), chr(10) || chr(10) ORDER BY rank) AS context
+FROM {USER_HITS} h GROUP BY query_id""")
+def question_contexts(spark, sf_dir):
+    """Each benchmark passage as a question, with its context."""
+    return pipeline.question_contexts(*letter_vectors(spark, sf_dir), retrieval.SNAPSHOT_K)
 
 
 # ---- contexts and prompts -------------------------------------------------
@@ -499,7 +515,7 @@ def snapshot_prompt_table(spark, sf_dir):
     return prompts.snapshot_prompts(requests, formatted(spark, sf_dir), ["source"])
 
 
-@query("report_headers", with_views(f"""
+HEADERS = f"""
 SELECT r.db_id, concat_ws(chr(10), repeat('=', 60), 'PERFORMANCE REPORT',
  concat('Database: ', coalesce(db_name, 'Unknown'), ' (DBID ', coalesce(dbid, 'Unknown'), ')'), 'Platform: ' || coalesce(platform_name, 'Unknown'),
  'Version: ' || coalesce(version, 'Unknown'), concat('CPU: Unknown cores, ', coalesce(num_cpus, 'Unknown'), ' threads, Unknown sockets'),
@@ -508,12 +524,34 @@ SELECT r.db_id, concat_ws(chr(10), repeat('=', 60), 'PERFORMANCE REPORT',
  repeat('=', 60)) AS header,
  concat_ws('_', coalesce(db_name, 'UNKNOWN'), coalesce(dbid, 'UNKNOWN'), strftime(t0, '%Y%m%d-%H%M'), strftime(t1, '%Y%m%d-%H%M'), 'report.txt') AS file_name
 FROM (SELECT db_id, min(snap) AS s0, max(snap) AS s1, min(end_ts - INTERVAL 1 HOUR) AS t0, max(end_ts) AS t1 FROM v_main_metrics GROUP BY db_id) r
-LEFT JOIN {OS_DIM} o ON r.db_id = o.db_id""", "v_main_metrics", "v_os_info"))
+LEFT JOIN {OS_DIM} o ON r.db_id = o.db_id"""
+
+
+@query("report_headers", with_views(HEADERS, "v_main_metrics", "v_os_info"))
 def report_headers(spark, sf_dir):
     ranged = rollups.snap_range(metrics(spark, sf_dir))
     return prompts.report_headers(ranged, cleaning.os_wide(view(spark, sf_dir, "v_os_info")))
 
 
+@query("final_reports", with_views(f"""
+SELECT h.db_id, file_name, concat_ws(chr(10) || chr(10), header, concat('asked in ',
+ length(concat('How did the database perform from SNAP_ID ', s0, ' to ', s1, ': CPU, waits, active sessions, I/O, heaviest SQL, changed plans?')),
+ ' characters'), concat_ws(chr(10), repeat('=', 60), 'END OF REPORT', repeat('=', 60))) AS report
+FROM ({HEADERS}) h JOIN (SELECT db_id, min(snap) AS s0, max(snap) AS s1 FROM v_main_metrics GROUP BY db_id) r ON h.db_id = r.db_id""",
+    "v_main_metrics", "v_os_info"))
+def final_reports(spark, sf_dir):
+    """One report per database; the answer function tells how long its question was."""
+    ranged = rollups.snap_range(metrics(spark, sf_dir))
+    asked = ranged.select(
+        "db_id", F.lit("").alias("system"), retrieval.range_question("start_snap", "end_snap").alias("user")
+    )
+    answered = prompts.answer(asked, lambda system, user: [f"asked in {len(u)} characters" for u in user])
+    headers = prompts.report_headers(ranged, cleaning.os_wide(view(spark, sf_dir, "v_os_info")))
+    return headers.join(answered.select("db_id", "answer"), "db_id").select(
+        "db_id", "file_name", prompts.final_report().alias("report")
+    )
+
+
 # ---- store ----------------------------------------------------------------
 
 
