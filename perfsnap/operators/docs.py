@@ -105,7 +105,7 @@ def _part(page: Column) -> Column:
 # ---- single parts ---------------------------------------------------------
 
 
-def os_documents(os_dim: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def os_documents(os_dim: DataFrame) -> DataFrame:
     """One document per database from its wide environment row."""
     content = lines(
         "Environment",
@@ -119,7 +119,7 @@ def os_documents(os_dim: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         says("Memory (GB): ", shown("physical_memory_gb")),
         says("Platform: ", shown("platform_name")),
     )
-    return as_documents(os_dim.withColumn("content", content), OS_INFO, extra)
+    return as_documents(os_dim.withColumn("content", content), OS_INFO)
 
 
 def sql_text(df: DataFrame) -> Column:

@@ -46,13 +46,12 @@ def upsert_documents(docs: DataFrame, path: str, batch: int | None = None) -> in
     """
     spark = docs.sparkSession
     number = last_batch(spark, path) + 1 if batch is None else batch
-    prints = docs.withColumn("_print", F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    kept = prints.groupBy("doc_id").agg(F.max("_print").alias("_print"))
-    fresh = prints.join(kept, ["doc_id", "_print"], "left_semi").dropDuplicates(["doc_id", "_print"])
+    fresh = docs.withColumn("_print", F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
     stored = _all_batches(spark, path)
     if stored is not None:
-        stored = stored.filter(F.col("batch") < number)
-        newest = stored.groupBy("doc_id").agg(F.max_by("_print", "batch").alias("_print"))
-        fresh = fresh.join(newest, ["doc_id", "_print"], "left_anti")
+        earlier = stored.filter(F.col("batch") < number).groupBy("doc_id")
+        fresh = fresh.join(earlier.agg(F.max_by("_print", "batch").alias("_print")), ["doc_id", "_print"], "left_anti")
+    row = F.struct(*[c for c in fresh.columns if c != "doc_id"])
+    fresh = fresh.groupBy("doc_id").agg(F.max_by(row, "_print").alias("_row")).select("doc_id", "_row.*")
     fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
     return number
