@@ -126,13 +126,12 @@ def detect_sql_plan_changes(
         F.sum("CPU_T_S").alias("total_cpu_s"),
     )
 
-    def listed(kind: str) -> Column:
-        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
-
+    # Most combinations of names repeat from snapshot to snapshot, so they are
+    # made distinct before the values are gathered.
+    names = {"schemas": "PARSING_SCHEMA_NAME", "modules": "MODULE", "plan_hashes": "PLAN_HASH"}
     lists = (
-        plan_change_members(df, keys)
-        .groupBy(*by)
-        .agg(listed("schema").alias("schemas"), listed("module").alias("modules"), listed("plan").alias("plan_hashes"))
+        df.select(*by, *names.values()).distinct()
+        .groupBy(*by).agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(n) for n, c in names.items()])
     )
     signs = (F.col("max_plan_change") > 0) | (F.col("max_plans") > 1) | (F.size("plan_hashes") > 1)
     return totals.join(lists, by).filter(signs)

@@ -410,6 +410,8 @@ def hourly_documents(
 
 
 # ---- range texts ----------------------------------------------------------
+#
+# Each text needs its aggregate more than once, so it is computed and kept first.
 
 
 def _range_words() -> Column:
@@ -421,6 +423,7 @@ def trend_text(trend: DataFrame, ranges: DataFrame, keys: Sequence[str] = DB, n:
 
     ``ranges`` has one row per key with ``start_snap`` and ``end_snap``.
     """
+    trend = written(trend, "trend")
     one = lambda c: number_text(c, 1)
     whole = lambda c: F.floor(c).cast("string")
     text = says(
@@ -462,7 +465,6 @@ def plan_change_text(
         "; largest change flag ", shown_number("max_plan_change"), "; in ", shown("snaps"), " snapshots; elapsed ",
         number_text("total_elapsed_s", 1), " s; CPU ", number_text("total_cpu_s", 1), " s",
     )
-    # Used for the totals, the group sizes and the pages, so computed once.
     changes = written(changes, "changes")
     spread = has_large_group([(changes, keys)])
     pages = _paged(changes, keys, [F.col("SQL_ID")], text, "text", page_rows, spread, "\n")
@@ -485,6 +487,7 @@ def plan_change_text(
 
 def bottleneck_text(classified: DataFrame, ranges: DataFrame, keys: Sequence[str] = DB, n: int = 10) -> DataFrame:
     """Label counts and the heaviest SQL with their labels, in words."""
+    classified = written(classified, "classified")
     spread = analytics.label_distribution(classified, keys).withColumnRenamed("seen_order", "_rank")
     counts = spread.withColumn("text", F.concat("label", F.lit(": "), F.col("n_sql").cast("string")))
     gathered = F.sort_array(F.collect_list(F.struct("_rank", "text")))
