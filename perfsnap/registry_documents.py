@@ -567,4 +567,4 @@ def upsert_idempotent(spark, sf_dir):
     store.upsert_documents(d.drop("lang"), path)
     newer = d.filter(F.col("lang") == "en").withColumn("content", F.concat("content", F.lit(" v2")))
     store.upsert_documents(newer.drop("lang"), path)
-    return store.read_documents(spark, path).drop("_print")
+    return store.read_documents(spark, path)

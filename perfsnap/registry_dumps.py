@@ -182,7 +182,7 @@ SELECT replace(m.db_id, 'DB', '') AS db_id, snap, inst, cast(dur_m as bigint) AS
 WHERE m.db_id IN (SELECT db_id FROM v_os_info)""", "v_main_metrics", "v_os_info"))
 def dump_files_metrics(spark, sf_dir):
     """Written to text files, read back, typed, and named by the database id in each file."""
-    lines = dumps.read_dump_lines(spark, dump_files(spark, sf_dir) + "/*")
+    lines = dumps.read_dump_lines(spark, dump_files(spark, sf_dir))
     index = dumps.index_dumps(lines, [schemas.OS_INFORMATION, schemas.MAIN_METRICS])
     owner = cleaning.os_wide(dumps.read_section(lines, index, schemas.OS_INFORMATION), ["source_file"])
     m = dumps.read_section(lines, index, schemas.MAIN_METRICS)
@@ -208,7 +208,7 @@ UNION ALL SELECT 'hourly_superdoc', hour, NULL, page, NULL, coalesce(snap_ids, '
 """.replace(*AS_PARSED))
 def dump_files_documents(spark, sf_dir):
     """All documents built from the files; of environment and hourly ones a single line is compared."""
-    tables = pipeline.read_tables(spark, dump_files(spark, sf_dir) + "/*")
+    tables = pipeline.read_tables(spark, dump_files(spark, sf_dir))
     built = pipeline.build_documents(tables, page_rows=SNAPSHOT_PAGE)
     kind, line = F.col("doc_type"), F.split("content", "\n")
     return built.select(
@@ -221,7 +221,7 @@ def dump_files_documents(spark, sf_dir):
 @query("dump_report_prompts")
 def dump_report_prompts(spark, sf_dir):
     """From dump files to one prompt per database with the offline embedding."""
-    tables = pipeline.read_tables(spark, dump_files(spark, sf_dir) + "/*")
+    tables = pipeline.read_tables(spark, dump_files(spark, sf_dir))
     documents = pipeline.build_documents(tables)
     path = scratch_path(spark, "built")
     documents.write.parquet(path)

@@ -11,26 +11,41 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perfsnap.session import written
+
 
 def _all_batches(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+# Ids with several versions, of some 70 bytes each, that are copied to every task.
+MAX_BROADCAST_IDS = 500_000
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of every document.
 
-    Only ids and batch numbers are grouped; the texts are matched to the result.
+    Ids that occur in several batches are found on the id column alone. While
+    they are few, the texts are filtered where they lie.
     """
     rows = _all_batches(spark, path)
     if rows is None:
         raise ValueError(f"no documents in {path}")
-    newest = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["doc_id", "batch"], "left_semi").drop("batch")
+    repeated = written(
+        rows.groupBy("doc_id").agg(F.max("batch").alias("_newest"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"),
+        "repeated",
+    )
+    n = repeated.count()
+    if n == 0:
+        return rows.drop("batch", "_print")
+    versions = F.broadcast(repeated) if n <= MAX_BROADCAST_IDS else repeated
+    newest = F.col("_newest").isNull() | (F.col("batch") == F.col("_newest"))
+    return rows.join(versions, "doc_id", "left").filter(newest).drop("batch", "_newest", "_print")
 
 
 def last_batch(spark: SparkSession, path: str) -> int:
@@ -46,12 +61,14 @@ def upsert_documents(docs: DataFrame, path: str, batch: int | None = None) -> in
     """
     spark = docs.sparkSession
     number = last_batch(spark, path) + 1 if batch is None else batch
-    fresh = docs.withColumn("_print", F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
+    prints = docs.withColumn("_print", F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
+    row = F.struct(*[c for c in prints.columns if c != "doc_id"])
+    fresh = prints.groupBy("doc_id").agg(F.max_by(row, "_print").alias("_row")).select("doc_id", "_row.*")
     stored = _all_batches(spark, path)
     if stored is not None:
-        earlier = stored.filter(F.col("batch") < number).groupBy("doc_id")
-        fresh = fresh.join(earlier.agg(F.max_by("_print", "batch").alias("_print")), ["doc_id", "_print"], "left_anti")
-    row = F.struct(*[c for c in fresh.columns if c != "doc_id"])
-    fresh = fresh.groupBy("doc_id").agg(F.max_by(row, "_print").alias("_row")).select("doc_id", "_row.*")
+        # Joined on the id, by which the documents are already spread.
+        earlier = stored.filter(F.col("batch") < number).groupBy("doc_id").agg(F.max_by("_print", "batch").alias("_stored"))
+        changed = F.col("_stored").isNull() | (F.col("_stored") != F.col("_print"))
+        fresh = fresh.join(earlier, "doc_id", "left").filter(changed).drop("_stored")
     fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
     return number
