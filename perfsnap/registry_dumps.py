@@ -136,7 +136,7 @@ FROM (SELECT source_file, cast(sum(n_rows + 4) as bigint) AS n_lines FROM ({BLOC
 GROUP BY 1,2""")
 def parse_status(spark, sf_dir):
     lines = kept_lines(three_sections(spark, sf_dir))
-    status = dumps.parse_status(lines, dumps.index_dumps(lines, last_only=False), ["customers", "suppliers"])
+    status = dumps.parse_status(dumps.index_dumps(lines, last_only=False), ["customers", "suppliers"])
     return status.select("source_file", "n_lines", "n_blocks", F.array_join("missing", ",").alias("missing"))
 
 
