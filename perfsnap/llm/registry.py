@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfsnap.llm import language, packing, urls, warc
+from perfsnap.llm import fm_index, language, packing, prefix_free, urls, warc
 from perfsnap.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,19 @@ def tokenizer_path() -> str:
     return os.fspath(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op2_prefix_free_parsing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_fm_index")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
