@@ -102,7 +102,8 @@ def repeated_windows(docs: DataFrame, units: Callable, grams: Grams, span: int,
     found = docs.mapInArrow(find, "anchor long, doc_id long, place long")
     again = F.min("doc_id") < F.max("doc_id") if other_document else F.count(F.lit(1)) > 1
     counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), again.alias("again"))
-    repeated = counts.where("again").select("anchor", F.ceil(F.col("n") / shard_rows).cast("long").alias("parts"))
+    # a table of its own, so that the join below can split hot anchors
+    repeated = written(counts.where("again").select("anchor", F.ceil(F.col("n") / shard_rows).cast("long").alias("parts")), "anchors")
     marks = (found.join(repeated, "anchor").groupBy("doc_id")
              .agg(F.collect_list(F.struct("place", "anchor", "parts")).alias("marks")))
 
