@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfsnap.llm import fm_index, language, packing, prefix_free, token_groups, urls, warc
+from perfsnap.llm import fm_index, language, packing, prefix_free, simhash, token_groups, urls, warc
 from perfsnap.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(urls.url_parts(pages), rules, pages, "html")
 
 
+@query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.compare_with_next(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: simhash.as_text(c) for c in ("fingerprint", "edited_fingerprint")}).drop("next_id")
+
+
 GROUP_DOCS = 4096
 
 
