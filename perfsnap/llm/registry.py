@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfsnap.llm import fm_index, language, packing, prefix_free, simhash, token_groups, urls, warc
+from perfsnap.llm import fm_index, language, packing, prefix_free, simhash, templates, token_groups, urls, warc
 from perfsnap.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def tokenizer_path() -> str:
     return os.fspath(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op1_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_prefix_free_parsing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
