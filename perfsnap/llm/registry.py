@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfsnap.llm import fm_index, language, packing, prefix_free, simhash, templates, token_groups, urls, warc
+from perfsnap.llm import fm_index, language, packing, prefix_free, secrets, simhash, templates, token_groups, urls, warc
 from perfsnap.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_groups.near_components(table(spark, sf_dir, "documents"))
 
 
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), forest)
+    return found.select("doc_id", "start", "length", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "chance", "secret")
+
+
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

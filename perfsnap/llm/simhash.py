@@ -27,7 +27,7 @@ def fingerprints(texts: DataFrame, key: str, text: str) -> DataFrame:
     Two bits share a sum (its halves); words are counted in pieces of a
     document, so that halves never overflow, whatever a text's length."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
-    terms = texts.select(key, F.posexplode(words).alias("pos", "word"))
+    terms = texts.select(key, F.posexplode_outer(words).alias("pos", "word"))
     w = F.least(F.length("word"), F.lit(LONGEST)).cast("long")
     terms = terms.select(key, F.shiftright("pos", 20).alias("piece"), F.xxhash64("word").alias("h"), (w * w).alias("w"))
     bit = lambda i: F.shiftright("h", i).bitwiseAND(F.lit(1))
