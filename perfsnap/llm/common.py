@@ -34,6 +34,18 @@ def rows_by_id(df: DataFrame, key: str, *values: str) -> DataFrame:
     return least.select(key, *[F.col("_row")[v].alias(v) for v in values])
 
 
+def distinct_rows(df: DataFrame, key: str) -> DataFrame:
+    """Whole rows, one per key: rows without a key are left out, of several with
+    one key the smallest by the other columns counts. Tables with distinct keys
+    are passed on as they are."""
+    n, d = df.agg(F.count(F.lit(1)), F.countDistinct(key)).first()
+    if n == d:
+        return df
+    others = [c for c in df.columns if c != key]
+    least = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*others)).alias("_row"))
+    return least.select(*[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in df.columns])
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Smallest member of every connected component: rows (node, root).
 

@@ -158,3 +158,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = rows_by_id(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInPandas(predict, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text has a language, with all their columns. Rejected are
+    null texts, texts without a letter and, if nothing was learned, all."""
+
+    @F.pandas_udf("string")
+    def language(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.predict(t if isinstance(t, str) else None)[0] for t in texts], dtype=object)
+
+    return docs.where(language(F.col("text").cast("string")) != UNDETERMINED)
