@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import types
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,9 @@ def ship(module: types.ModuleType) -> None:
     cloudpickle.register_pickle_by_value(module)
 
 
+ship(sys.modules[__name__])
+
+
 def rows_by_id(df: DataFrame, key: str, *values: str) -> DataFrame:
     """Only ``key`` and ``values``, one row per key.
 
@@ -46,6 +52,26 @@ def distinct_rows(df: DataFrame, key: str) -> DataFrame:
     return least.select(*[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in df.columns])
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, z): texts compressed, for joins that move them."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            texts = [z.compress((t.as_py() or "").encode()) for t in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(texts, pa.binary())], names=["doc_id", "z"])
+
+    return docs.mapInArrow(pack, "doc_id long, z binary")
+
+
+def unpacked(z: pa.Scalar) -> str:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(z.as_py()).decode()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Smallest member of every connected component: rows (node, root).
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfsnap.llm.common import rows_by_id, ship
+from perfsnap.llm.common import packed, rows_by_id, ship, unpacked
 from perfsnap.llm.repeats import covered, mixed, repeated_windows
 
 ship(sys.modules[__name__])
@@ -144,7 +144,7 @@ class Settle:
         return removed, np.arange(wide) < n[:, None]
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, shard_rows: int = 3_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, shard_rows: int = 3_000, hot: int = 500) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept): every word that lies in a
     window of ``window`` words which also starts in a document with a smaller id
     is removed; ``spans`` are the maximal removed runs (start, end) in words and
@@ -156,15 +156,15 @@ def remove_repeats(docs: DataFrame, window: int = 50, shard_rows: int = 3_000) -
     """
     rows = rows_by_id(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     runs = repeated_windows(rows, words_of, word_grams, window - ANCHOR + 1, word_context,
-                            Settle(window), True, shard_rows, 1 << 18)
+                            Settle(window), True, shard_rows, hot, 1 << 18)
     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
     names = ["doc_id", "n_words", "n_removed", "spans", "kept"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, held = [], 0
-            for doc, text, r in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("runs")):
-                u = words_of(text.as_py())
+            for doc, text, r in zip(b.column("doc_id").to_pylist(), b.column("z"), b.column("runs")):
+                u = words_of(unpacked(text))
                 kept, spans, n = u, [], len(u)
                 if r.is_valid:
                     gone = covered(r.values.to_numpy(), window, n)
@@ -180,5 +180,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, shard_rows: int = 3_000) -
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return rows.join(runs, "doc_id", "left").mapInArrow(
+    return packed(rows).join(runs, "doc_id", "left").mapInArrow(
         apply, "doc_id long, n_words long, n_removed long, spans array<struct<start long, end long>>, kept string")

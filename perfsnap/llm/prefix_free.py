@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfsnap.llm.common import rows_by_id, ship
+from perfsnap.llm.common import packed, rows_by_id, ship, unpacked
 from perfsnap.llm.repeats import covered, mixed, repeated_windows
 
 ship(sys.modules[__name__])
@@ -100,7 +100,7 @@ class Settle:
         return removed, valid
 
 
-def remove_repeats(docs: DataFrame, window: int = 100, shard_rows: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 100, shard_rows: int = 20_000, hot: int = 500) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): every byte of a document that lies in a
     string of ``window`` bytes which also starts earlier (in a smaller id, or
     earlier in the same document) is removed; ``spans`` are the maximal removed
@@ -113,7 +113,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, shard_rows: int = 20_000)
     """
     rows = rows_by_id(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     runs = repeated_windows(rows, byte_units, byte_grams, window - TRIGGER + 1, byte_context,
-                            Settle(window), False, shard_rows, 1 << 20)
+                            Settle(window), False, shard_rows, hot, 1 << 20)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     types = [pa.int64(), pa.int64(), spans_type, pa.binary()]
@@ -122,8 +122,8 @@ def remove_repeats(docs: DataFrame, window: int = 100, shard_rows: int = 20_000)
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, held = [], 0
-            for doc, text, r in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("runs")):
-                u = byte_units(text.as_py())
+            for doc, text, r in zip(b.column("doc_id").to_pylist(), b.column("z"), b.column("runs")):
+                u = byte_units(unpacked(text))
                 gone = covered(r.values.to_numpy() if r.is_valid else np.zeros(0, np.int64), window, len(u))
                 edge = np.diff(np.pad(gone, 1).astype(np.int8))
                 spans = [{"start": s, "end": e} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
@@ -135,4 +135,4 @@ def remove_repeats(docs: DataFrame, window: int = 100, shard_rows: int = 20_000)
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return rows.join(runs, "doc_id", "left").mapInArrow(apply, "doc_id long, n_bytes long, spans array<struct<start long, end long>>, kept binary")
+    return packed(rows).join(runs, "doc_id", "left").mapInArrow(apply, "doc_id long, n_bytes long, spans array<struct<start long, end long>>, kept binary")

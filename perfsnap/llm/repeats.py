@@ -5,13 +5,18 @@ windows is settled (``prefix_free`` and ``fm_index``).
 
 * The *anchor* of a window is its smallest short gram by a rolling hash (the
   first of equal ones). It depends on the window's content alone, so equal
-  windows have equal anchors, and neighbouring windows mostly share one.
-* A window whose anchor occurs once is unique. Only anchors that occur again
-  are looked at further: each with its *context*, the text of all windows that
-  it anchors.
-* Contexts are dealt to shards by anchor. An anchor with very many contexts is
-  dealt to several shards; what is first within its shard then meets the firsts
-  of the others by a digest of the window, so no task gets a whole hot anchor.
+  windows have equal anchors, and neighbouring windows mostly share one. The
+  text of all windows that one anchor holds is its *context*.
+* Anchors are counted with one small row each. A window whose anchor occurs once
+  is unique. Of equal contexts all but the first are removed whole. What is left
+  to look at are the firsts of anchors with several contexts.
+* Those contexts are dealt to shards by anchor. An anchor with very many
+  contexts is dealt to several shards; what is first within its shard then meets
+  the firsts of the others by a digest of the window.
+
+Hot anchors never meet in one task: equal contexts are combined before the
+shuffle, and an anchor with many contexts in one batch is dealt by context, with
+a single row that tells the anchor's other places of it. Texts travel compressed.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfsnap.llm.common import ship
+from perfsnap.llm.common import packed, ship, unpacked
 from perfsnap.session import written
 
 ship(sys.modules[__name__])
@@ -33,6 +39,7 @@ ship(sys.modules[__name__])
 #: hashes of the grams of a list of units, one per gram
 Grams = Callable[[object], np.ndarray]
 LOW = np.uint64(0xFFFFFFFF)
+digest = xxhash.xxh3_64_intdigest
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -60,52 +67,159 @@ def window_anchors(grams: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray
     return chosen[first], first, np.diff(np.append(first, m))
 
 
-def repeated_windows(docs: DataFrame, units: Callable, grams: Grams, span: int, context: Callable,
-                     settle: Callable, other_document: bool, shard_rows: int, segment: int) -> DataFrame:
-    """Runs of window starts that occurred before: (doc_id, runs array<long>), a
-    run being ``start * 65536 + number of windows``.
+def group_starts(*columns: np.ndarray) -> np.ndarray:
+    """First row of each run of equal values in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
 
-    ``docs`` is (doc_id, text), one row per id. ``units(text)`` gives what
-    windows count, ``context(units, first, end)`` the bytes of a stretch of them
-    and ``grams`` the hashes of the anchors' grams. ``settle(table, contexts)``
-    returns, for each window of each context, whether it is removed. Documents
-    are read in segments of ``segment`` windows. With ``other_document`` only
-    repeats of smaller ids count, else also earlier ones in the same document.
-    """
-    window = settle.window
+
+def spread_over(starts: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """A value per group as a value per row."""
+    return np.repeat(values, np.diff(np.append(starts, n)))
+
+
+ONE, COPY, HOT, TELL = range(4)  # kinds of anchor rows, in the last bits of their place
+
+
+def found_anchors(docs: DataFrame, units: Callable, grams: Grams, span: int, window: int, context: Callable,
+                  other_document: bool, hot: int, segment: int) -> DataFrame:
+    """(anchor, ctx, doc_id, place): every anchor of every document.
+
+    ``place`` packs the first window, the anchor's distance from it, the number
+    of windows and the kind of row. Within a batch later copies of a context are
+    marked COPY, and anchors with ``hot`` contexts or more HOT, with a TELL row each."""
 
     def parts(n_units: int) -> Iterator[tuple[int, int]]:
         for s in range(0, max(0, n_units - window + 1), segment):
             yield s, min(n_units, s + segment + window - 1)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, size = ["anchor", "doc_id", "place"], [], 0
-
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+    def settle_batch(held: list) -> pa.RecordBatch:
+        anchor, ctx, doc, place = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((place, doc, ctx, anchor))
+        anchor, ctx, doc, place = (c[order] for c in (anchor, ctx, doc, place))
+        same = group_starts(anchor, ctx)
+        copy = np.ones(len(anchor), bool)
+        if other_document:
+            copy = doc > spread_over(same, doc[same], len(doc))
+        else:
+            copy[same] = False
+        by_anchor = group_starts(anchor)
+        contexts = np.add.reduceat(np.isin(np.arange(len(anchor)), same).astype(np.int64), by_anchor)
+        busy = contexts >= hot
+        kind = np.where(copy, COPY, np.where(spread_over(by_anchor, busy, len(anchor)), HOT, ONE))
+        tell = by_anchor[busy]
+        return pa.record_batch([pa.array(np.concatenate(c)) for c in (
+            (anchor, anchor[tell]), (ctx, ctx[tell]), (doc, doc[tell]), (place << 2 | kind, place[tell] << 2 | TELL))],
+            names=["anchor", "ctx", "doc_id", "place"])
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 u = units(text.as_py())
                 for s, e in parts(len(u)):
                     g = grams(u[s:e])
                     at, first, n = window_anchors(g, span)
+                    ctx = [digest(context(u, f, f + k - 1 + window)) for f, k in zip((first + s).tolist(), n.tolist())]
                     place = (first + s) << 16 | (at - first) << 8 | n
-                    held.append((g[at].view(np.int64), np.full(len(at), doc, np.int64), place))
+                    held.append((g[at].view(np.int64), np.array(ctx, np.uint64).view(np.int64), np.full(len(at), doc, np.int64), place))
                     size += len(at)
-                    if size > 100_000:
-                        yield out()
+                    if size > 400_000:
+                        yield settle_batch(held)
                         held, size = [], 0
-        if held:
-            yield out()
+        if size:
+            yield settle_batch(held)
+
+    return docs.mapInArrow(find, "anchor long, ctx long, doc_id long, place long")
 
-    found = docs.mapInArrow(find, "anchor long, doc_id long, place long")
-    again = F.min("doc_id") < F.max("doc_id") if other_document else F.count(F.lit(1)) > 1
-    counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), again.alias("again"))
-    # a table of its own, so that the join below can split hot anchors
-    repeated = written(counts.where("again").select("anchor", F.ceil(F.col("n") / shard_rows).cast("long").alias("parts")), "anchors")
-    marks = (found.join(repeated, "anchor").groupBy("doc_id")
-             .agg(F.collect_list(F.struct("place", "anchor", "parts")).alias("marks")))
+
+def candidates(found: DataFrame, other_document: bool, shard_rows: int) -> DataFrame:
+    """(doc_id, place, bucket, split): places to look at have a bucket; at the
+    others all windows are removed."""
+    kind = F.col("place").bitwiseAND(3)
+    deal = F.when(kind == COPY, F.xxhash64("doc_id", "place")).when(kind == HOT, F.xxhash64("anchor", "ctx")).otherwise(F.col("anchor"))
+    names = ["doc_id", "place", "bucket", "split"]
+
+    def whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            size += b.num_rows
+            if size >= 200_000:
+                rows = [np.concatenate(c) for c in zip(*held)]
+                cut = int(group_starts(rows[0])[-1])
+                if cut:
+                    yield [c[:cut] for c in rows]
+                    held, size = [[c[cut:] for c in rows]], size - cut
+        if size:
+            yield [np.concatenate(c) for c in zip(*held)]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for anchor, ctx, doc, place in whole_anchors(batches):
+            kind = place & 3
+            at = np.flatnonzero(kind == COPY)
+            yield pa.record_batch([pa.array(c) for c in (doc[at], place[at] >> 2)] + [pa.nulls(len(at), pa.int64()), pa.array(np.zeros(len(at), bool))], names=names)
+            # copies tell that their anchor occurs again; they went elsewhere, so a
+            # first one without a partner here is settled by its context's own copies
+            at = np.flatnonzero(kind != COPY)
+            anchor, ctx, doc, place, kind = (c[at] for c in (anchor, ctx, doc, place, kind))
+            if not len(at):
+                continue
+            n = len(anchor)
+            by_anchor = group_starts(anchor)
+            told = spread_over(by_anchor, np.add.reduceat((kind >= HOT).astype(np.int64), by_anchor) > 0, n)
+            rows = spread_over(by_anchor, np.diff(np.append(by_anchor, n)), n)
+            one_doc = spread_over(by_anchor, np.minimum.reduceat(doc, by_anchor) == np.maximum.reduceat(doc, by_anchor), n)
+            same = group_starts(anchor, ctx)
+            first = np.zeros(n, bool)
+            first[same] = True
+            several = spread_over(by_anchor, np.add.reduceat(first.astype(np.int64), by_anchor) > 1, n)
+            own = kind != TELL
+            if other_document:
+                # a TELL row may be the first of its context only beside the row it stands for
+                later = doc > spread_over(same, np.minimum.reduceat(doc, same), n)
+                look = own & ~later & (told | several & ~one_doc)
+            else:
+                least = spread_over(same, lowest(doc, place >> 2, own, same), n)
+                later = own & (np.arange(n) != least)
+                look = own & ~later & (told | several)
+            split = told | (rows > shard_rows)
+            block = (doc >> 12).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bucket = np.where(split, mixed(anchor.view(np.uint64) ^ block).view(np.int64), anchor)
+            gone = np.flatnonzero(own & later)
+            yield pa.record_batch([pa.array(doc[gone]), pa.array(place[gone] >> 2), pa.nulls(len(gone), pa.int64()), pa.array(np.zeros(len(gone), bool))], names=names)
+            yield pa.record_batch([pa.array(c[look]) for c in (doc, place >> 2, bucket, split)], names=names)
+
+    dealt = found.repartition(deal).sortWithinPartitions("anchor", "ctx", "doc_id", "place")
+    return dealt.mapInArrow(choose, "doc_id long, place long, bucket long, split boolean")
+
+
+def lowest(doc: np.ndarray, place: np.ndarray, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Row of the first own (document, place) of each group of rows sorted by both."""
+    n = len(doc)
+    rows = np.where(own, np.arange(n), n)
+    return np.minimum.reduceat(rows, starts)
+
+
+def repeated_windows(docs: DataFrame, units: Callable, grams: Grams, span: int, context: Callable,
+                     settle: Callable, other_document: bool, shard_rows: int, hot: int, segment: int) -> DataFrame:
+    """Runs of window starts that occurred before: (doc_id, runs array<long>), a
+    run being ``start * 65536 + number of windows``.
+
+    ``docs`` is (doc_id, text), one row per id. ``units(text)`` gives what
+    windows count, ``context(units, first, end)`` the bytes of a stretch of them
+    and ``grams`` the hashes of the anchors' grams. ``settle(contexts, ...)``
+    returns, for each window of each context, whether it is removed. Documents
+    are read in segments of ``segment`` windows. With ``other_document`` only
+    repeats of smaller ids count, else also earlier ones in the same document.
+    """
+    window = settle.window
+    found = found_anchors(docs, units, grams, span, window, context, other_document, hot, segment)
+    chosen = written(candidates(found, other_document, shard_rows), "candidates")
+    marks = chosen.where("bucket is not null").groupBy("doc_id").agg(F.collect_list(F.struct("place", "bucket", "split")).alias("marks"))
 
     shape = "bucket long, split boolean, doc_id long, first long, off int, n int, context binary"
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -114,14 +228,13 @@ def repeated_windows(docs: DataFrame, units: Callable, grams: Grams, span: int,
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for b in batches:
-            for doc, text, marked in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("marks")):
-                u = units(text.as_py())
-                place, anchor, shards = (marked.values.field(k).to_numpy(zero_copy_only=False) for k in ("place", "anchor", "parts"))
-                for p, h, k in zip(place.tolist(), anchor.tolist(), shards.tolist()):
+            for doc, z, marked in zip(b.column("doc_id").to_pylist(), b.column("z"), b.column("marks")):
+                u = units(unpacked(z))
+                for m in marked.as_py():
+                    p = m["place"]
                     first, off, n = p >> 16, p >> 8 & 255, p & 255
-                    bucket = h if k == 1 else (h + ((doc * 1_000_003 + first) * 0x9E3779B97F4A7C15 >> 20) % k * 0x2545F491) % (1 << 63)
                     c = context(u, first, first + n - 1 + window)
-                    rows.append((bucket, k > 1, doc, first, off, n, c))
+                    rows.append((m["bucket"], m["split"], doc, first, off, n, c))
                     held += len(c) + 64
                     if held > 4 << 20:
                         yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
@@ -146,6 +259,7 @@ def repeated_windows(docs: DataFrame, units: Callable, grams: Grams, span: int,
             yield pa.Table.from_batches(held)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = ["doc_id", "run", "window"]
         for t in shards(batches):
             t = t.sort_by([("doc_id", "ascending"), ("first", "ascending")])
             texts = t["context"].to_pylist()
@@ -155,21 +269,21 @@ def repeated_windows(docs: DataFrame, units: Callable, grams: Grams, span: int,
             # runs of removed windows, row by row
             edge = np.diff(np.pad(removed & valid, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             (r, s), (_, e) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-            yield pa.record_batch([pa.array(doc[r]), pa.array(first[r] + s << 16 | e - s), pa.nulls(len(r), pa.binary())], names=["doc_id", "run", "window"])
+            yield pa.record_batch([pa.array(doc[r]), pa.array(first[r] + s << 16 | e - s), pa.nulls(len(r), pa.binary())], names=out)
             r, k = np.nonzero(valid & ~removed & split[:, None])
             if len(r):
-                cut = settle.cut
-                keys = [hashlib.blake2b(cut(texts[i], j), digest_size=16).digest() for i, j in zip(r.tolist(), k.tolist())]
-                yield pa.record_batch([pa.array(doc[r]), pa.array(first[r] + k << 16 | 1), pa.array(keys, pa.binary())], names=["doc_id", "run", "window"])
+                keys = [hashlib.blake2b(settle.cut(texts[i], j), digest_size=16).digest() for i, j in zip(r.tolist(), k.tolist())]
+                yield pa.record_batch([pa.array(doc[r]), pa.array(first[r] + k << 16 | 1), pa.array(keys, pa.binary())], names=out)
 
-    near = docs.join(marks, "doc_id").mapInArrow(contexts, shape)
+    near = packed(docs).join(marks, "doc_id").mapInArrow(contexts, shape)
     settled = written(near.repartition("bucket").sortWithinPartitions("bucket")
                       .mapInArrow(decide, "doc_id long, run long, window binary"), "repeats")
     open_ = settled.where("window is not null")
     firsts = open_.groupBy("window").agg(F.min(F.struct("doc_id", "run")).alias("first"))
     here = F.struct("doc_id", "run")
     later = F.col("doc_id") > F.col("first.doc_id") if other_document else here > F.col("first")
-    removed = settled.where("window is null").select("doc_id", "run").unionAll(
+    whole = chosen.where("bucket is null").select("doc_id", F.expr("shiftleft(shiftright(place, 16), 16) | (place & 255)").alias("run"))
+    removed = whole.unionAll(settled.where("window is null").select("doc_id", "run")).unionAll(
         open_.join(firsts, "window").where(later).select("doc_id", "run"))
     return removed.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
