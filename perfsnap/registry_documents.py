@@ -484,7 +484,7 @@ PRESET_SQL = """CASE preset WHEN 'manager' THEN ['executive', 'high', 'id'] WHEN
 PROMPTS = f"""
 SELECT source, concat_ws(chr(10) || chr(10), {levels(prompts.LANGUAGE, 'l[3]', 'en')}, {levels(prompts.ANALYSIS, 'l[1]', 'deepdive')},
  {levels(prompts.RECOMMENDATION, 'l[2]', 'expert')}, {quoted(prompts.STYLE)}, {quoted(prompts.STRUCTURE)}, {quoted(prompts.TIME_RULES)}) AS system,
- concat('Context for SNAP_ID ', lo, ' to ', hi, ':', chr(10), chr(10), context, chr(10), chr(10), 'Write the performance report for this range.') AS "user"
+ concat('Snapshots ', lo, '-', hi, '. Documents:', chr(10), chr(10), context, chr(10), chr(10), 'Report on these snapshots as one period.') AS "user"
 FROM (SELECT *, {PRESET_SQL} AS l FROM (
  SELECT source, min(doc_id) AS lo, max(doc_id) AS hi, 'deepest' AS analysis_level,
   CASE source WHEN 'src0' THEN 'manager' WHEN 'src1' THEN 'dba' WHEN 'src2' THEN 'expert' WHEN 'src3' THEN 'balanced' WHEN 'src4' THEN 'english' END AS preset
@@ -508,7 +508,7 @@ def prompt_table(spark, sf_dir):
 
 @query("snapshot_prompt_table", f"""
 SELECT source, {quoted(prompts.SNAPSHOT_ROLE + chr(10) + chr(10) + prompts.SNAPSHOT_OUTLINE)} AS system,
- concat('Context for SNAP_ID ', lo, ':', chr(10), chr(10), context, chr(10), chr(10), 'Write the performance report for this snapshot.') AS "user"
+ concat('Snapshot ', lo, '. Documents:', chr(10), chr(10), context, chr(10), chr(10), 'Report on this snapshot.') AS "user"
 FROM (SELECT source, min(doc_id) AS lo FROM documents GROUP BY source) r JOIN {FORMATTED} f USING (source)""")
 def snapshot_prompt_table(spark, sf_dir):
     requests = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("snap_id"))
@@ -516,12 +516,11 @@ def snapshot_prompt_table(spark, sf_dir):
 
 
 HEADERS = f"""
-SELECT r.db_id, concat_ws(chr(10), repeat('=', 60), 'PERFORMANCE REPORT',
- concat('Database: ', coalesce(db_name, 'Unknown'), ' (DBID ', coalesce(dbid, 'Unknown'), ')'), 'Platform: ' || coalesce(platform_name, 'Unknown'),
- 'Version: ' || coalesce(version, 'Unknown'), concat('CPU: Unknown cores, ', coalesce(num_cpus, 'Unknown'), ' threads, Unknown sockets'),
- 'Memory: Unknown GB', 'Instances: Unknown',
- concat('Time: ', strftime(t0, '%Y-%m-%d %H:%M:%S'), ' to ', strftime(t1, '%Y-%m-%d %H:%M:%S')), concat('SNAP_ID: ', s0, ' to ', s1),
- repeat('=', 60)) AS header,
+SELECT r.db_id, concat_ws(chr(10), concat('# ', coalesce(db_name, 'not recorded'), ', snapshots ', s0, '-', s1),
+ concat('Period: ', strftime(t0, '%Y-%m-%d %H:%M'), ' / ', strftime(t1, '%Y-%m-%d %H:%M')),
+ concat('Database id ', coalesce(dbid, 'not recorded'), ', release ', coalesce(version, 'not recorded'), ', instances not recorded'),
+ concat('Host: ', coalesce(platform_name, 'not recorded'), '; sockets not recorded, cores not recorded, threads ',
+  coalesce(num_cpus, 'not recorded'), ', memory in GB not recorded')) AS header,
  concat_ws('_', coalesce(db_name, 'UNKNOWN'), coalesce(dbid, 'UNKNOWN'), strftime(t0, '%Y%m%d-%H%M'), strftime(t1, '%Y%m%d-%H%M'), 'report.txt') AS file_name
 FROM (SELECT db_id, min(snap) AS s0, max(snap) AS s1, min(end_ts - INTERVAL 1 HOUR) AS t0, max(end_ts) AS t1 FROM v_main_metrics GROUP BY db_id) r
 LEFT JOIN {OS_DIM} o ON r.db_id = o.db_id"""
@@ -536,7 +535,7 @@ def report_headers(spark, sf_dir):
 @query("final_reports", with_views(f"""
 SELECT h.db_id, file_name, concat_ws(chr(10) || chr(10), header, concat('asked in ',
  length(concat('How did the database perform from SNAP_ID ', s0, ' to ', s1, ': CPU, waits, active sessions, I/O, heaviest SQL, changed plans?')),
- ' characters'), concat_ws(chr(10), repeat('=', 60), 'END OF REPORT', repeat('=', 60))) AS report
+ ' characters')) AS report
 FROM ({HEADERS}) h JOIN (SELECT db_id, min(snap) AS s0, max(snap) AS s1 FROM v_main_metrics GROUP BY db_id) r ON h.db_id = r.db_id""",
     "v_main_metrics", "v_os_info"))
 def final_reports(spark, sf_dir):

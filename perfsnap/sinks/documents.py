@@ -8,7 +8,7 @@ occur in several batches; the newest one counts.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfsnap.session import written
@@ -53,17 +53,26 @@ def last_batch(spark: SparkSession, path: str) -> int:
     return 0 if rows is None else (rows.agg(F.max("batch")).first()[0] or 0)
 
 
-def upsert_documents(docs: DataFrame, path: str, batch: int | None = None) -> int:
+def fingerprint(columns: list[str]) -> Column:
+    """A digest of a row's columns in the order of their names, nulls included,
+    so that a value that moves from one column to another is a change."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def upsert_documents(docs: DataFrame, path: str, batch: int | None = None, order: str | None = None) -> int:
     """Add new documents and new versions; documents already stored as they are stay.
 
-    Of an id that occurs twice in ``docs`` one version is kept. Returns the
-    batch number; pass it again to repeat a load that failed.
+    Of an id that occurs twice in ``docs`` the version with the highest ``order``
+    is kept, or with equal or no order the one with the highest fingerprint.
+    Returns the batch number; pass it again to repeat a load that failed.
     """
     spark = docs.sparkSession
     number = last_batch(spark, path) + 1 if batch is None else batch
-    prints = docs.withColumn("_print", F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
+    content = [c for c in docs.columns if c != "doc_id"]
+    prints = docs.withColumn("_print", fingerprint(content))
     row = F.struct(*[c for c in prints.columns if c != "doc_id"])
-    fresh = prints.groupBy("doc_id").agg(F.max_by(row, "_print").alias("_row")).select("doc_id", "_row.*")
+    best = F.struct(*([order] if order else []), "_print")
+    fresh = prints.groupBy("doc_id").agg(F.max_by(row, best).alias("_row")).select("doc_id", "_row.*")
     stored = _all_batches(spark, path)
     if stored is not None:
         # Joined on the id, by which the documents are already spread.
