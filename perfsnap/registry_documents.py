@@ -551,6 +551,27 @@ def final_reports(spark, sf_dir):
     )
 
 
+# ---- from documents to prompts through the store ---------------------------
+
+ONE_PAGE = 10_000
+SNAPSHOT_PROMPTS = f"""
+SELECT concat_ws('-', db_id, snap_id, instance) AS request_id, {quoted(prompts.SNAPSHOT_ROLE + chr(10) + chr(10) + prompts.SNAPSHOT_OUTLINE)} AS system,
+ concat('Snapshot ', snap_id, '. Documents:', chr(10), chr(10), '[DOC 1]', chr(10), {CUT.replace('text', 'content')}, chr(10), chr(10), 'Report on this snapshot.') AS "user"
+FROM ({SNAPSHOT_DOCS.replace(f'// {SNAPSHOT_PAGE} AS page', f'// {ONE_PAGE} AS page')}) d"""
+
+
+@query("snapshot_report_prompts", with_views(SNAPSHOT_PROMPTS, *ALL_VIEWS))
+def snapshot_report_prompts(spark, sf_dir):
+    """Snapshot documents stored with vectors, found again for each snapshot and instance, and made into prompts."""
+    path = scratch_path(spark, "store")
+    parts = sections(spark, sf_dir)
+    built = docs.snapshot_documents(*parts, page_rows=ONE_PAGE, sql_tie=SQL_TIE)
+    pipeline.store_with_vectors(built, path)
+    pipeline.store_with_vectors(built, path)
+    stored, model = pipeline.open_store(spark, path)
+    return pipeline.snapshot_report_prompts(stored, model, pipeline.snapshot_requests(parts[0]))
+
+
 # ---- store ----------------------------------------------------------------
 
 

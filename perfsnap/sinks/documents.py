@@ -23,15 +23,11 @@ def _all_batches(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-# Ids with several versions, of some 70 bytes each, that are copied to every task.
-MAX_BROADCAST_IDS = 500_000
-
-
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of every document.
 
-    Ids that occur in several batches are found on the id column alone. While
-    they are few, the texts are filtered where they lie.
+    Ids that occur in several batches are found on the id column alone and kept
+    as a table, by whose size Spark chooses the join.
     """
     rows = _all_batches(spark, path)
     if rows is None:
@@ -40,12 +36,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         rows.groupBy("doc_id").agg(F.max("batch").alias("_newest"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"),
         "repeated",
     )
-    n = repeated.count()
-    if n == 0:
-        return rows.drop("batch", "_print")
-    versions = F.broadcast(repeated) if n <= MAX_BROADCAST_IDS else repeated
     newest = F.col("_newest").isNull() | (F.col("batch") == F.col("_newest"))
-    return rows.join(versions, "doc_id", "left").filter(newest).drop("batch", "_newest", "_print")
+    return rows.join(repeated, "doc_id", "left").filter(newest).drop("batch", "_newest", "_print")
 
 
 def last_batch(spark: SparkSession, path: str) -> int:
