@@ -43,14 +43,49 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op2_prefix_free_parsing")
+OP2_SQL = """
+WITH lists AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents),
+bytes AS (SELECT doc_id, unnest(l) AS b, unnest(range(1, len(l) + 1)) AS p FROM lists),
+windows AS (
+  SELECT doc_id, p, b, CASE WHEN count(*) OVER f = 100 THEN md5(string_agg(b, '') OVER f) END AS k FROM bytes
+  WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING)),
+firsts AS (SELECT k, min(doc_id * 4294967296 + p) AS first FROM windows WHERE k IS NOT NULL GROUP BY k),
+starts AS (SELECT w.doc_id, p, b, CASE WHEN doc_id * 4294967296 + p > first THEN p END AS again FROM windows w LEFT JOIN firsts f ON w.k = f.k),
+covered AS (
+  SELECT doc_id, p, b, coalesce(max(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > p - 100, false) AS gone
+  FROM starts),
+edges AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY p) AS opens FROM covered)
+SELECT d.doc_id, count(p)::BIGINT AS n_bytes, (count(*) FILTER (gone))::BIGINT AS n_removed, (count(*) FILTER (opens))::BIGINT AS n_spans,
+ sha256(unhex(coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT gone), ''))) AS kept_sha256
+FROM documents d LEFT JOIN edges e ON d.doc_id = e.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op2_prefix_free_parsing", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op3_fm_index")
+OP3_SQL = """
+WITH lists AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM lists),
+windows AS (
+  SELECT doc_id, p, word, CASE WHEN count(*) OVER f = 50 THEN md5(string_agg(word, ' ') OVER f) END AS k FROM words
+  WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows WHERE k IS NOT NULL GROUP BY k),
+starts AS (SELECT w.doc_id, p, word, coalesce(doc_id > first, false) AS again FROM windows w LEFT JOIN firsts f ON w.k = f.k),
+covered AS (
+  SELECT doc_id, p, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM starts)
+SELECT d.doc_id, count(p)::BIGINT AS n_words, (count(*) FILTER (gone))::BIGINT AS n_removed,
+ sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN covered c ON d.doc_id = c.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op3_fm_index", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -96,7 +131,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-@query("op7_warc")
+OP7_SQL = """
+WITH digests AS (
+  SELECT page_id, coalesce(strlen(html), 0)::BIGINT AS payload_bytes, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits FROM pages),
+named AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: substr(bits, 5 * i + j, 1)::INT << (5 - j)))::INT, 1)), '') AS payload_digest
+  FROM digests),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM named)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
+@query("op7_warc", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")), path)
