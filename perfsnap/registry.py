@@ -99,6 +99,25 @@ def sql_trend_range(spark, sf_dir):
     return plain(analytics.ranked_by_elapsed(analytics.sql_trend_over_range(top_sql(spark, sf_dir))))
 
 
+# A closed range of snapshots given as numbers, and the order of lines in a dump.
+LOW, HIGH = 3010, 3050
+IN_RANGE = f"(SELECT * FROM v_top_sql WHERE SNAP_ID BETWEEN {LOW} AND {HIGH}) t"
+FILE_ORDER = ("SNAP_ID", "l_orderkey", "l_partkey", "ELAP_RANK")
+FIRST_NAMED = {f"min({c})": f"arg_min({c}, row({', '.join(FILE_ORDER)}))" for c in ("PARSING_SCHEMA_NAME", "MODULE", "COMMAND_NAME")}
+
+
+def first_named(sql: str) -> str:
+    for least, first in FIRST_NAMED.items():
+        sql = sql.replace(least, first)
+    return sql
+
+
+@query("sql_trend_snaps", with_views(first_named(TREND.format(keys="db_id", source=IN_RANGE)), "v_top_sql"))
+def sql_trend_snaps(spark, sf_dir):
+    """Totals over a literal range, with the names that come first in file order."""
+    return plain(analytics.sql_trend_over_range(top_sql(spark, sf_dir), LOW, HIGH, order=FILE_ORDER))
+
+
 @query("sql_trend_periods", with_views(TREND.format(keys="db_id, period", source=YEARLY), "v_top_sql"))
 def sql_trend_periods(spark, sf_dir):
     return plain(analytics.sql_trend_over_range(yearly(spark, sf_dir), keys=PERIOD))
@@ -144,6 +163,12 @@ def plan_change_detect(spark, sf_dir):
     return plain(analytics.detect_sql_plan_changes(yearly(spark, sf_dir), keys=PERIOD))
 
 
+@query("plan_change_snaps", with_views(PLAN_CHANGES.format(source=f"(SELECT * FROM {YEARLY} WHERE SNAP_ID BETWEEN {LOW} AND {HIGH}) r"), "v_top_sql"))
+def plan_change_snaps(spark, sf_dir):
+    """Changed plans within a literal range."""
+    return plain(analytics.detect_sql_plan_changes(yearly(spark, sf_dir), LOW, HIGH, PERIOD))
+
+
 LABELS = """
 SELECT *, CASE WHEN labels = '' THEN 'Mixed/Other' ELSE labels END AS bottleneck_class FROM (
  SELECT *, concat_ws(',',
