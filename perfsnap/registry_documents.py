@@ -10,6 +10,7 @@ from perfsnap.plans import pipeline
 from perfsnap.registry import LABELLED, PERIOD, PLAN_CHANGES, TREND, YEARLY, metrics, plain, query, table, top_sql, view, yearly
 from perfsnap.session import scratch_path
 from perfsnap.sinks import documents as store
+from perfsnap.sinks import sections as reports
 
 SQL_TIE = ("SQL_ID", "l_orderkey", "l_partkey")
 
@@ -551,6 +552,21 @@ def final_reports(spark, sf_dir):
     )
 
 
+@query("report_files", with_views(f"""
+SELECT file_name, concat(header, chr(10), chr(10), 'asked', chr(10)) AS report FROM ({HEADERS}) h
+UNION ALL SELECT 'summary.txt', concat(count(*), ' reports', chr(10)) FROM ({HEADERS}) g""", "v_main_metrics", "v_os_info"))
+def report_files(spark, sf_dir):
+    """Reports written as files twice, a further one added, and all read back."""
+    path = scratch_path(spark, "reports")
+    headers = prompts.report_headers(rollups.snap_range(metrics(spark, sf_dir)), cleaning.os_wide(view(spark, sf_dir, "v_os_info")))
+    made = headers.withColumn("answer", F.lit("asked")).select("file_name", prompts.final_report().alias("report"))
+    reports.write_reports(made.withColumn("report", F.lit("first version")), path)
+    reports.write_reports(made, path)
+    count = F.concat(F.count(F.lit(1)).cast("string"), F.lit(" reports")).alias("report")
+    reports.write_reports(made.agg(count).select(F.lit("summary.txt").alias("file_name"), "report"), path)
+    return spark.read.text(path, wholetext=True).select("file_name", F.col("value").alias("report"))
+
+
 # ---- from documents to prompts through the store ---------------------------
 
 ONE_PAGE = 10_000

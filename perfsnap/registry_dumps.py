@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -248,3 +250,21 @@ def export_sections(spark, sf_dir):
         return df.select(F.lit(name).alias("section"), F.col(key).alias("key"), F.col(label).alias("name"))
 
     return back("CUSTOMERS", "C_KEY", "C_NAME").unionByName(back("SUPPLIERS", "S_KEY", "S_NAME"))
+
+
+@query("export_formats", """
+SELECT fmt, cast(s_suppkey as varchar) AS key, s_name AS name FROM supplier, (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS fmt) f""")
+def export_formats(spark, sf_dir):
+    """One section parsed, written in every format and read again."""
+    s = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("dump"), F.col("s_suppkey").alias("S_KEY"),
+        F.col("s_name").alias("S_NAME"),
+    )
+    lines = kept_lines(section(s, "SUPPLIERS", {"S_KEY": 10, "S_NAME": 20}, "S_KEY"))
+    found = {"SUPPLIERS": dumps.read_any_section(lines, dumps.index_dumps(lines), "SUPPLIERS")}
+    back = []
+    for fmt in sorted(exports.FORMATS):
+        path = exports.export_sections(found, scratch_path(spark, "sections"), fmt)["SUPPLIERS"]
+        df = spark.read.format(fmt).option("header", True).load(path)
+        back.append(df.select(F.lit(fmt).alias("fmt"), F.col("S_KEY").cast("string").alias("key"), F.col("S_NAME").alias("name")))
+    return reduce(DataFrame.unionByName, back)
