@@ -402,7 +402,7 @@ def letter_vectors(spark, sf_dir):
         return [[float(t.count(c)) for c in LETTERS] for t in texts]
 
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    stored = retrieval.embed(d, letters).filter(F.exists("embedding", lambda x: x > 0))
+    stored = retrieval.embed(d, letters, batch_rows=50).filter(F.exists("embedding", lambda x: x > 0))
     asked = retrieval.embed(
         table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content")),
         letters, vector="query_embedding",
