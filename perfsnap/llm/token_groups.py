@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfsnap.llm.common import connected, rows_by_id, ship
+from perfsnap.llm.common import connected, packed, rows_by_id, ship, unpacked
 from perfsnap.session import written
 
 ship(sys.modules[__name__])
@@ -120,14 +120,14 @@ def class_heads(docs: DataFrame, size: int, measure: Measure) -> DataFrame:
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
     """(rep, n, tokens, keys): whole sorted sets as packed 64-bit numbers, and the
-    smallest token under each round's order."""
+    smallest token under each round's order; ``docs`` is (doc_id, z) as ``packed``."""
     types, names = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], ["rep", "n", "tokens", "keys"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    s = shingles(text.as_py(), size)
+                for doc, z in zip(b.column("doc_id").to_pylist(), b.column("z")):
+                    s = shingles(unpacked(z), size)
                     keys = np.array([(s * f ^ (s * f >> np.uint64(31))).min() for f in FACTORS[:ROUNDS]])
                     yield doc, len(s), s.tobytes(), keys.view(np.int64)
 
@@ -171,11 +171,14 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[Iterator[di
 
 
 def link_round(leaders: DataFrame, number: int, measure: Measure) -> DataFrame:
-    """Links (a, b) of sets to earlier ones with the same smallest token, chunk by chunk."""
+    """Links (a, b) of sets to earlier ones with the same smallest token, chunk by chunk.
+
+    Sets with the fewest tokens of their own come first: in a group of near
+    copies these are closest to the text that all were made from, so most link to one."""
     keyed = leaders.withColumn("key", F.col("keys")[number])
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     chunk = F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK).cast("long")))
-    dealt = keyed.join(written(sizes, "sizes"), "key").select(chunk.alias("chunk"), "n", "rep", "tokens")
+    dealt = keyed.join(written(sizes, "sizes"), "key").select(chunk.alias("chunk"), "own", "rep", "tokens")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "chunk"):
@@ -190,7 +193,7 @@ def link_round(leaders: DataFrame, number: int, measure: Measure) -> DataFrame:
             if links:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
-    return dealt.repartition("chunk").sortWithinPartitions("chunk", "n", "rep").mapInArrow(link, "a long, b long")
+    return dealt.repartition("chunk").sortWithinPartitions("chunk", "own", "rep").mapInArrow(link, "a long, b long")
 
 
 def open_groups(asked: DataFrame, members: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
@@ -243,11 +246,11 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     first = heads.where("n > 0").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("head").alias("token"))
     seen = shared_tokens(first).groupBy("rep", "n").agg(F.count(F.lit(1)).alias("s"))
     near = written(seen.where(F.col("s") >= measure.column("shared", "n")).select(F.col("rep").alias("doc_id")), "near")
-    sets = written(full_sets(rows.join(near, "doc_id", "left_semi"), size), "sets")
+    sets = written(full_sets(packed(rows).join(near, "doc_id", "left_semi"), size), "sets")
     tokens = written(shared_tokens(exploded(sets)), "tokens")
     enough = tokens.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= measure.column("needed", "n"))
-    enough = written(enough.select("rep", (F.col("s") - measure.column("needed", "n") + 1).alias("asks")), "enough")
-    sets = sets.join(enough, "rep", "left_semi")
+    enough = written(enough.select("rep", (F.col("s") - measure.column("needed", "n") + 1).alias("asks"), (F.col("n") - F.col("s")).alias("own")), "enough")
+    sets = sets.join(enough.select("rep", "own"), "rep")
 
     links, leaders = [], sets
     groups = enough.select("rep", F.col("rep").alias("grp"))
@@ -262,7 +265,7 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
 
     mine = tokens.join(members, "rep").select("token", "df", "rep", "n", "grp")
     matrix = written(mine.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
-    asking = mine.join(enough, "rep").groupBy("rep", "n", "grp", "asks").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    asking = mine.join(enough.select("rep", "asks"), "rep").groupBy("rep", "n", "grp", "asks").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     asking = asking.select("rep", "n", F.col("grp").alias("own"), F.explode(F.expr("slice(t, 1, cast(asks as int))")).alias("t"))
     asked = asking.select("rep", "n", "own", "t.token").join(matrix, "token").where(
         f"grp < own and 100 * n >= {percent} * least and 100 * most >= {percent} * n").select("rep", "grp").distinct()
