@@ -241,15 +241,14 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     measure = Measure(percent)
     rows = rows_by_id(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     heads = written(class_heads(rows, size, measure), "heads")
-    classes = written(heads.where("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    first = heads.where("n > 0").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("head").alias("token"))
+    classes = written(heads.where("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("rep"), F.any_value("head").alias("head")), "classes")
+    first = classes.select("rep", "n", F.explode("head").alias("token"))
     seen = shared_tokens(first).groupBy("rep", "n").agg(F.count(F.lit(1)).alias("s"))
     near = written(seen.where(F.col("s") >= measure.column("shared", "n")).select(F.col("rep").alias("doc_id")), "near")
     sets = written(full_sets(packed(rows).join(near, "doc_id", "left_semi"), size), "sets")
     tokens = written(shared_tokens(exploded(sets)), "tokens")
     enough = tokens.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= measure.column("needed", "n"))
-    enough = written(enough.select("rep", (F.col("s") - measure.column("needed", "n") + 1).alias("asks"), (F.col("n") - F.col("s")).alias("own")), "enough")
+    enough = written(enough.select("rep", "s", (F.col("n") - F.col("s")).alias("own")), "enough")
     sets = sets.join(enough.select("rep", "own"), "rep")
 
     links, leaders = [], sets
@@ -265,10 +264,15 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
 
     mine = tokens.join(members, "rep").select("token", "df", "rep", "n", "grp")
     matrix = written(mine.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
-    asking = mine.join(enough.select("rep", "asks"), "rep").groupBy("rep", "n", "grp", "asks").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    asking = asking.select("rep", "n", F.col("grp").alias("own"), F.explode(F.expr("slice(t, 1, cast(asks as int))")).alias("t"))
-    asked = asking.select("rep", "n", "own", "t.token").join(matrix, "token").where(
-        f"grp < own and 100 * n >= {percent} * least and 100 * most >= {percent} * n").select("rep", "grp").distinct()
+    asking = mine.join(enough.select("rep", "s"), "rep").groupBy("rep", "n", "grp", "s").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    rarest = F.slice("t", F.lit(1), (F.col("s") - measure.column("needed", "n") + 1).cast("int"))
+    asking = asking.select("rep", "n", "s", F.col("grp").alias("own"), F.posexplode(rarest).alias("pos", "t")).select("rep", "n", "s", "own", "pos", "t.token")
+    # A partner of n' tokens shares at least so many that it holds one of the
+    # rarest s - overlap + 1; what is matched later than that is no sign of one.
+    overlap = F.ceil((F.col("n") + F.greatest("least", measure.column("needed", "n"))) * percent / (100 + percent))
+    asked = asking.join(matrix, "token").where(
+        F.expr(f"grp < own and 100 * n >= {percent} * least and 100 * most >= {percent} * n") & (F.col("pos") <= F.col("s") - overlap)
+    ).select("rep", "grp").distinct()
     links.append(open_groups(written(asked, "asked"), members, sets, measure))
 
     roots = connected(reduce(DataFrame.unionAll, links))
