@@ -114,7 +114,10 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def write_archives(records: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z",
                    sample_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> None:
-    """Write (page_id, url, payload, refers_to) below ``path``, one archive per partition."""
+    """Write (page_id, url, payload, refers_to) below ``path``, one archive per partition.
+
+    An archive is read back as one value, so partitions should stay well below
+    2 GB; those of a shuffle do."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[bytes]:
