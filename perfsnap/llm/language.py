@@ -50,13 +50,28 @@ def features(text: str) -> np.ndarray:
     return v / max(float(np.linalg.norm(v)), 1e-9)
 
 
+def sparse(v: np.ndarray) -> bytes:
+    """The places and values that are not zero, a few bytes each."""
+    at = np.flatnonzero(v)
+    return at.astype("<u2").tobytes() + v[at].astype("<f2").tobytes()
+
+
+def dense(rows: list[bytes]) -> np.ndarray:
+    """Feature rows with a constant last column."""
+    x = np.zeros((len(rows), SIZE + 1), np.float32)
+    x[:, -1] = 1
+    for i, r in enumerate(rows):
+        half = len(r) // 2
+        x[i, np.frombuffer(r[:half], "<u2")] = np.frombuffer(r[half:], "<f2")
+    return x
+
+
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights of a linear support vector machine (dual coordinate descent, the
-    constant feature included); ``y`` is +1 or -1. The smaller side weighs more."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights of a linear support vector machine (dual coordinate descent);
+    ``y`` is +1 or -1. The smaller side weighs more."""
     share = {s: len(y) / 2 / max((y == s).sum(), 1) for s in (1, -1)}
     bound = np.array([c * share[int(s)] for s in y])
-    alpha, w, q = np.zeros(len(y)), np.zeros(x.shape[1], np.float64), (x * x).sum(1)
+    alpha, w, q = np.zeros(len(y)), np.zeros(x.shape[1], np.float64), np.einsum("ij,ij->i", x, x)
     order = np.random.default_rng(1)
     for _ in range(rounds):
         for i in order.permutation(len(y)):
@@ -68,12 +83,12 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30) ->
     return w
 
 
-def one_against_one(x: np.ndarray, names: list[str]) -> dict[tuple[str, str], np.ndarray]:
-    labels = np.array(names)
+def one_against_one(rows: list[bytes], names: list[str]) -> dict[tuple[str, str], np.ndarray]:
+    """A machine for every two names; only their rows are held as a matrix."""
     out = {}
     for a, b in combinations(sorted(set(names)), 2):
-        at = (labels == a) | (labels == b)
-        out[a, b] = train_svm(x[at], np.where(labels[at] == a, 1, -1))
+        at = [i for i, n in enumerate(names) if n in (a, b)]
+        out[a, b] = train_svm(dense([rows[i] for i in at]), np.array([1 if names[i] == a else -1 for i in at]))
     return out
 
 
@@ -93,15 +108,15 @@ def vote(pairs: dict[tuple[str, str], np.ndarray], names: list[str], v: np.ndarr
 class Model:
     """Families, and languages within each; learned from feature rows and names."""
 
-    def __init__(self, x: np.ndarray, names: list[str]):
+    def __init__(self, rows: list[bytes], names: list[str]):
         families = [FAMILY.get(n, n) for n in names]
         self.families = sorted(set(families))
-        self.first = one_against_one(x, families)
+        self.first = one_against_one(rows, families)
         self.within = {}
         for f in self.families:
             at = [i for i, g in enumerate(families) if g == f]
             own = [names[i] for i in at]
-            self.within[f] = (sorted(set(own)), one_against_one(x[at], own))
+            self.within[f] = (sorted(set(own)), one_against_one([rows[i] for i in at], own))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.families or text is None or not LETTER.search(text):
@@ -118,12 +133,12 @@ def fit(labelled: DataFrame, max_rows: int = 3000) -> Model:
     and a letter: as many of each language, chosen by a hash of the id.
 
     Ids are chosen first; only the chosen texts are read for features, which are
-    made in tasks. The driver gets ``max_rows`` feature rows of 16 kB at most.
+    made in tasks. The driver gets ``max_rows`` sparse feature rows of 16 kB at most.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     n = rows.agg(F.countDistinct("lang")).first()[0]
     if not n:
-        return Model(np.zeros((0, SIZE), np.float32), [])
+        return Model([], [])
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= max(1, max_rows // n))
     chosen = rows.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
@@ -131,12 +146,11 @@ def fit(labelled: DataFrame, max_rows: int = 3000) -> Model:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             f = f[[bool(LETTER.search(t)) for t in f["text"]]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "lang": f["lang"], "v": [features(t).tobytes() for t in f["text"]]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "lang": f["lang"], "v": [sparse(features(t)) for t in f["text"]]})
 
     got = chosen.select("doc_id", "lang", "text").mapInPandas(count, "doc_id long, lang string, v binary").collect()
     got.sort(key=lambda r: r.doc_id)
-    x = np.array([np.frombuffer(r.v, np.float32) for r in got], np.float32).reshape(len(got), SIZE)
-    return Model(x, [r.lang for r in got])
+    return Model([bytes(r.v) for r in got], [r.lang for r in got])
 
 
 def held_out(doc_id: str = "doc_id"):
