@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfsnap.llm.common import rows_by_id, ship
+from perfsnap.session import written
 
 ship(sys.modules[__name__])
 
@@ -57,12 +58,20 @@ def matching_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def word_counts(texts: DataFrame, column: str, top: int) -> dict[str, int]:
-    """Counts of the ``top`` most frequent words (a-z, at most 24 letters) over
-    whole texts without their tags; the model is bounded by ``top``."""
+    """Counts of the frequent words (a-z, at most 24 letters) over whole texts
+    without their tags.
+
+    Kept are all words with 2^b occurrences or more, for the smallest b that
+    keeps ``top`` words or fewer, so the driver gets no more than that."""
     plain = F.lower(F.regexp_replace(F.col(column).cast("string"), r"<[^>]*>", " "))
-    words = texts.select(F.explode(F.split(plain, r"[^a-z]+")).alias("w"))
-    counts = words.where(f"w <> '' and length(w) <= {LONGEST_WORD}").groupBy("w").count()
-    return {r.w: r["count"] for r in counts.orderBy(F.desc("count"), "w").limit(top).collect()}
+    words = texts.select(F.explode_outer(F.split(plain, r"[^a-z]+")).alias("w"))
+    counts = written(words.where(f"w <> '' and length(w) <= {LONGEST_WORD}").groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+    sizes = {r.b: r.k for r in counts.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    least, kept = 64, 0
+    while least > 0 and kept + sizes.get(least - 1, 0) <= top:
+        least -= 1
+        kept += sizes.get(least, 0)
+    return {r.w: r.n for r in counts.where(F.floor(F.log2("n")) >= least).collect()}
 
 
 class Segmenter:
@@ -140,8 +149,8 @@ def judge(urls: DataFrame, rules: DataFrame, texts: DataFrame, text_column: str,
 
     Where a rule holds its verdict counts. Otherwise hosts and paths are split
     into words (Viterbi over unigram counts of all words in ``texts``) and
-    naive Bayes decides; even odds allow. Of the counts the ``vocabulary`` most
-    frequent words are kept. An empty table of texts leaves the examples alone.
+    naive Bayes decides; even odds allow. Of the counts at most ``vocabulary``
+    frequent words are kept (``word_counts``). An empty table of texts leaves the examples alone.
     """
     counts = word_counts(texts, text_column, vocabulary)
     bad, good = examples(block), examples(allow)
