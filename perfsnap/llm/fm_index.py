@@ -53,7 +53,7 @@ class WaveletMatrix:
         self.levels = []
         for shift in range(bits - 1, -1, -1):
             bit = (symbols >> shift) & 1
-            ones = np.concatenate(([0], np.cumsum(bit, dtype=np.int32)))
+            ones = np.concatenate(([0], np.cumsum(bit))).astype(np.int32)
             zeros = len(symbols) - int(ones[-1])
             self.levels.append((shift, ones, zeros))
             symbols = np.concatenate((symbols[bit == 0], symbols[bit == 1]))
@@ -78,14 +78,14 @@ class Index:
 
     def __init__(self, symbols: np.ndarray, owner: np.ndarray, window: int):
         n, ranks, depth = len(symbols), symbols.astype(np.int64), 1
-        steps = {1: ranks}
+        steps = {1: symbols}
         while depth < window:
             after = np.concatenate((ranks[depth:], np.zeros(min(depth, n), np.int64)))[:n]
             _, ranks = np.unique(ranks * (int(ranks.max()) + 1) + after, return_inverse=True)
             depth *= 2
-            steps[depth] = ranks
+            steps = {d: s for d, s in steps.items() if 2 * d >= depth} | {depth: ranks.astype(np.int32)}
         order = np.argsort(ranks, kind="stable")
-        self.starts = np.concatenate(([0], np.cumsum(np.bincount(symbols)))).astype(np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(symbols)))).astype(np.int32)
         self.matrix = WaveletMatrix(symbols[order - 1], max(1, int(symbols.max()).bit_length()))
         self.run_start, self.run_end = self._runs(steps, order, window - 1)
         full, _ = self._runs(steps, order, window)
@@ -103,7 +103,7 @@ class Index:
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         run = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        return first[run], np.append(first[1:], len(a))[run]
+        return first[run].astype(np.int32), np.append(first[1:], len(a))[run].astype(np.int32)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges after one more word in front."""
@@ -126,12 +126,12 @@ class Settle:
         for t in texts:
             symbols += [number.setdefault(word, len(number) + 1) for word in t.split(b" ")]
             symbols.append(0)
-        text = np.array(symbols, np.int64)
+        text = np.array(symbols, np.int32)
         end = np.cumsum(size + 1) - 1  # where each context's 0 stands
         index = Index(text, np.repeat(doc, size + 1), w)
         wide = int(n.max())
         removed = np.zeros((len(texts), wide), bool)
-        low, high = np.zeros(len(texts), np.int64), np.full(len(texts), index.size, np.int64)
+        low, high = np.zeros(len(texts), np.int32), np.full(len(texts), index.size, np.int32)
         active = np.arange(len(texts))
         for step in range(1, int(size.max()) + 1):
             keep = size[active] >= step

@@ -126,7 +126,7 @@ def found_anchors(docs: DataFrame, units: Callable, grams: Grams, span: int, win
                     place = (first + s) << 16 | (at - first) << 8 | n
                     held.append((g[at].view(np.int64), np.array(ctx, np.uint64).view(np.int64), np.full(len(at), doc, np.int64), place))
                     size += len(at)
-                    if size > 400_000:
+                    if size > 200_000:
                         yield settle_batch(held)
                         held, size = [], 0
         if size:
@@ -162,8 +162,7 @@ def candidates(found: DataFrame, other_document: bool, shard_rows: int) -> DataF
             kind = place & 3
             at = np.flatnonzero(kind == COPY)
             yield pa.record_batch([pa.array(c) for c in (doc[at], place[at] >> 2)] + [pa.nulls(len(at), pa.int64()), pa.array(np.zeros(len(at), bool))], names=names)
-            # copies tell that their anchor occurs again; they went elsewhere, so a
-            # first one without a partner here is settled by its context's own copies
+            # copies are settled by their context alone; what follows needs an anchor's other contexts
             at = np.flatnonzero(kind != COPY)
             anchor, ctx, doc, place, kind = (c[at] for c in (anchor, ctx, doc, place, kind))
             if not len(at):
@@ -187,7 +186,7 @@ def candidates(found: DataFrame, other_document: bool, shard_rows: int) -> DataF
                 later = own & (np.arange(n) != least)
                 look = own & ~later & (told | several)
             split = told | (rows > shard_rows)
-            block = (doc >> 12).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            block = (doc >> 10).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             bucket = np.where(split, mixed(anchor.view(np.uint64) ^ block).view(np.int64), anchor)
             gone = np.flatnonzero(own & later)
             yield pa.record_batch([pa.array(doc[gone]), pa.array(place[gone] >> 2), pa.nulls(len(gone), pa.int64()), pa.array(np.zeros(len(gone), bool))], names=names)
@@ -244,19 +243,16 @@ def repeated_windows(docs: DataFrame, units: Callable, grams: Grams, span: int,
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Whole buckets, about ``shard_rows`` rows at a time."""
-        held, n = [], 0
+        rest: list[pa.RecordBatch] = []
         for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= shard_rows:
-                t = pa.Table.from_batches(held).combine_chunks()
-                cuts = np.flatnonzero(np.diff(t["bucket"].to_numpy()))
-                if len(cuts):
-                    last = int(cuts[-1]) + 1
-                    yield t.slice(0, last)
-                    held, n = t.slice(last).to_batches(), t.num_rows - last
-        if n:
-            yield pa.Table.from_batches(held)
+            t = pa.Table.from_batches([*rest, b]).combine_chunks()
+            starts, at = group_starts(t["bucket"].to_numpy()), 0
+            while (k := int(np.searchsorted(starts, at + shard_rows))) < len(starts):
+                yield t.slice(at, int(starts[k]) - at)
+                at = int(starts[k])
+            rest = t.slice(at).to_batches()
+        if rest:
+            yield pa.Table.from_batches(rest)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = ["doc_id", "run", "window"]
