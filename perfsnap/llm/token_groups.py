@@ -262,17 +262,19 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     block = F.xxhash64("grp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK).cast("long")))
     members = written(groups.join(sizes, "grp").select("rep", "grp", block.alias("block")), "groups")
 
-    mine = tokens.join(members, "rep").select("token", "df", "rep", "n", "grp")
-    matrix = written(mine.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
-    asking = mine.join(enough.select("rep", "s"), "rep").groupBy("rep", "n", "grp", "s").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    # Sets in one order of tokens, rarest first. Of linked sets with an overlap of t
+    # tokens, s of them shared at all, the first s - t + 1 on both sides meet.
+    mine = tokens.join(members.select("rep", "grp"), "rep").join(enough.select("rep", "s"), "rep")
+    ordered = mine.groupBy("rep", "n", "s", "grp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     rarest = F.slice("t", F.lit(1), (F.col("s") - measure.column("needed", "n") + 1).cast("int"))
-    asking = asking.select("rep", "n", "s", F.col("grp").alias("own"), F.posexplode(rarest).alias("pos", "t")).select("rep", "n", "s", "own", "pos", "t.token")
-    # A partner of n' tokens shares at least so many that it holds one of the
-    # rarest s - overlap + 1; what is matched later than that is no sign of one.
+    heads_of = ordered.select("rep", "n", "s", "grp", F.posexplode(rarest).alias("pos", "t"))
+    firsts = written(heads_of.select("rep", "n", "grp", "t.token", (F.col("s") - F.col("pos")).alias("reach")), "firsts")
+    matrix = written(firsts.groupBy("token", F.col("grp").alias("to")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("their_reach")), "matrix")
     overlap = F.ceil((F.col("n") + F.greatest("least", measure.column("needed", "n"))) * percent / (100 + percent))
-    asked = asking.join(matrix, "token").where(
-        F.expr(f"grp < own and 100 * n >= {percent} * least and 100 * most >= {percent} * n") & (F.col("pos") <= F.col("s") - overlap)
-    ).select("rep", "grp").distinct()
+    asked = firsts.join(matrix, "token").where(
+        F.expr(f"to < grp and 100 * n >= {percent} * least and 100 * most >= {percent} * n") & (F.least("reach", "their_reach") >= overlap)
+    ).select("rep", F.col("to").alias("grp")).distinct()
     links.append(open_groups(written(asked, "asked"), members, sets, measure))
 
     roots = connected(reduce(DataFrame.unionAll, links))
