@@ -21,7 +21,10 @@ WINDOW = 5
 UNITS = ("km|kg|cm|mm|mg|ml|kb|mb|gb|tb|hz|khz|mhz|ghz|kw|kwh|mph|kmh|m|g|l|s|h|v|w|a|t|min|mins|sec|secs|hr|hrs|day|days|week|weeks|month|months|"
          "year|years|hour|hours|minute|minutes|second|seconds|meter|meters|metre|metres|kilometer|kilometers|mile|miles|gram|grams|kilogram|"
          "kilograms|liter|liters|litre|litres|dollar|dollars|euro|euros|pound|pounds|cent|cents|percent|degree|degrees|foot|feet|inch|inches")
-NUMBER = r"(?<![\p{L}\p{N}])\p{Nd}+(?:[.,:]\p{Nd}+)*(?![\p{L}\p{N}])"
+# Scripts without spaces between words: each letter is a token.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+JOINED = rf"[\p{{L}}\p{{N}}&&[^{UNSPACED}]]"
+NUMBER = rf"(?<!{JOINED})\p{{Nd}}+(?:[.,:]\p{{Nd}}+)*(?!{JOINED})"
 NAMES = r"(?<=[\p{L},;:] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
 MEASURE = rf"(\u0001n)(?: ?[%€$£]| ?(?i:{UNITS})(?!\p{{L}}))"
 # Placeholders are private signs while a text is cut, so that no text can spell one.
@@ -36,24 +39,51 @@ def template(text: Column) -> Column:
     marked = F.regexp_replace(plain, NAMES, "\u0001p ")
     marked = F.regexp_replace(marked, NUMBER, "\u0001n")
     marked = F.regexp_replace(marked, MEASURE, "\u0001m ")
-    return F.filter(F.split(F.lower(marked), "[^\\p{L}\u0001]+"), lambda w: w != "")
+    return words(marked, "\\p{L}\u0001")
 
 
-def windows(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, hs): hashes of all windows of ``size`` template tokens of each text;
-    fewer tokens are one window, none give none.
+def words(text: Column, signs: str) -> Column:
+    """Runs of ``signs`` in lower case; letters of unspaced scripts one by one."""
+    apart = F.regexp_replace(F.lower(text), rf"(?=[{UNSPACED}])|(?<=[{UNSPACED}])", " ")
+    return F.filter(F.split(apart, f"[^{signs}]+"), lambda w: w != "")
 
-    Explode the result with an outer explode: a plain one would make the optimizer
-    test the array's size below, with the tokens cut anew for every window."""
-    tokens = rows.select(key, template(F.col("text").cast("string")).alias("t"))
-    each = F.transform(F.sequence(F.lit(0), F.size("t") - size), lambda i: F.xxhash64(*[F.get(F.col("t"), i + k) for k in range(size)]))
-    short = F.array(F.xxhash64(F.array_join("t", " ")))
-    return tokens.select(key, F.when(F.size("t") >= size, each).when(F.size("t") > 0, short).otherwise(F.array().cast("array<bigint>")).alias("hs"))
+
+def verbatim(text: Column) -> Column:
+    """Words and numbers as they are, for items of placeholders alone: without a
+    word of its own such a template would occur in any text with as many numbers."""
+    return words(F.coalesce(text, F.lit("")), "\\p{L}\\p{N}")
+
+
+def hashes(tokens: Column, size: int, way: int) -> Column:
+    """Hashes of all windows of ``size`` tokens; empty if there are fewer. ``way``
+    is 0 for templates and 1 for verbatim tokens, whose hashes must not meet."""
+    each = F.transform(F.sequence(F.lit(0), F.size(tokens) - size), lambda i: F.xxhash64(F.lit(way), F.lit(size), *[F.get(tokens, i + k) for k in range(size)]))
+    return F.when(F.size(tokens) >= size, each).otherwise(F.array().cast("array<bigint>"))
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(item_id, at, h): where each window of an item's template begins."""
-    return windows(rows_by_id(benchmark, "item_id", "text"), "item_id", size).select("item_id", F.posexplode_outer("hs").alias("at", "h")).where("h is not null")
+    """(item_id, way, n, at, h): where each window of ``n`` tokens of an item begins.
+
+    Items of fewer than ``size`` tokens are one window of all of them."""
+    text = F.col("text").cast("string")
+    cut = rows_by_id(benchmark, "item_id", "text").select("item_id", template(text).alias("t"), verbatim(text).alias("v"))
+    worded = F.exists("t", lambda w: ~F.startswith(w, F.lit("\u0001")))
+    tokens = cut.select("item_id", F.when(worded, 0).otherwise(1).alias("way"), F.when(worded, F.col("t")).otherwise(F.col("v")).alias("t"))
+    tokens = tokens.withColumn("n", F.least(F.size("t"), F.lit(size))).where("n > 0")
+    hs = F.coalesce(*[F.when((F.col("n") == n) & (F.col("way") == way), hashes(F.col("t"), n, way)) for n in range(1, size + 1) for way in (0, 1)])
+    return tokens.select("item_id", "way", "n", F.posexplode_outer(hs).alias("at", "h"))
+
+
+def windows(rows: DataFrame, key: str, sizes: list[tuple[int, int]]) -> DataFrame:
+    """(key, pos, h): hashes of all windows of each (way, n) of ``sizes``.
+
+    The explodes are outer ones: plain ones would make the optimizer test the
+    array's size below, with the tokens cut anew for every window."""
+    text = F.col("text").cast("string")
+    tokens = rows.select(key, F.array(template(text), verbatim(text) if any(way for way, _ in sizes) else F.lit(None)).alias("t"))
+    every = F.array(*[hashes(F.get("t", F.lit(way)), n, way) for way, n in sizes])
+    each = tokens.select(key, F.explode_outer(every).alias("hs"))
+    return each.select(key, F.posexplode_outer("hs").alias("pos", "h")).where("h is not null")
 
 
 def slots(rows: DataFrame, key: str) -> DataFrame:
@@ -74,19 +104,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, covera
     An item occurs if at least ``coverage`` of the windows of its template do,
     and at least ``agreement`` of its slots agree: each value of the item stands
     for one value of the document wherever both are aligned. Items without
-    slots agree. Null and empty texts have no windows; an item without words
-    occurs nowhere. Rows that repeat an id, rows without one and other columns:
+    slots agree. Items shorter than a window are one window of their own size,
+    items of placeholders alone are looked for as they are written. Null and
+    empty texts have no windows; an item without words and numbers occurs
+    nowhere. Rows that repeat an id, rows without one and other columns:
     see ``rows_by_id``.
     """
     items = written(item_windows(benchmark, size), "items")
+    sizes = sorted((r.way, r.n) for r in items.select("way", "n").distinct().collect())
+    if not sizes:
+        sizes = [(0, size)]
     totals = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
     texts = rows_by_id(docs, "doc_id", "text")
-    placed = windows(texts, "doc_id", size).select("doc_id", F.posexplode_outer("hs").alias("pos", "h"))
+    placed = windows(texts, "doc_id", sizes)
     hits = written(placed.join(items, "h").select("doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift")), "hits")
     found = hits.groupBy("doc_id", "item_id", "at").agg(F.count(F.lit(1)).alias("times")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_found"))
     likely = written(found.join(totals, "item_id").where(F.col("n_found") >= F.lit(coverage) * F.col("n_windows")), "likely")
 
-    asked = written(slots(rows_by_id(benchmark, "item_id", "text"), "item_id"), "slots")
+    # verbatim items have no slots: their values are part of their windows
+    worded = items.where("way = 0").select("item_id").distinct()
+    asked = written(slots(rows_by_id(benchmark, "item_id", "text").join(worded, "item_id", "left_semi"), "item_id"), "slots")
     # values are looked up only in documents that hold an item with slots
     pairs = written(likely.join(asked.select("item_id").distinct(), "item_id", "left_semi").select("doc_id", "item_id"), "pairs")
     given = slots(texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")

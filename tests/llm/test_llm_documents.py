@@ -57,6 +57,19 @@ def test_leaks_awkward_rows(spark):
     assert templates.find_leaks(brute.awkward(spark), items.limit(0)).count() == 0
 
 
+def leaks(spark, docs, items):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in templates.find_leaks(d, b).collect()}
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    items = ["What is 12 + 7?", "小明有5个苹果,又买了3个,一共有几个?", "12 + 7", "one two", "นก"]
+    docs = ["Some words before. What is 31 + 8? And some words behind it.", "他问:小明有9个苹果,又买了4个,一共有几个?没人知道。",
+            "here 3 + 4 and there 12 + 7 with more text", "here 3 + 4 and not the other", "a long text with one two three four five", "what is it", "xนกx"]
+    assert leaks(spark, docs, items) == {(0, 0), (1, 1), (2, 2), (4, 3), (6, 4)}
+
+
 # ---- secrets ---------------------------------------------------------------
 
 
