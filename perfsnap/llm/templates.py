@@ -1,7 +1,7 @@
 """Benchmark passages in a corpus, also with other numbers, names and units.
 
 DataFrame functions only. Texts become templates: numbers, capitalised names
-within a sentence and units after a number are typed placeholders, all else is
+and units after a number are typed placeholders, all else is
 lower-case words. Windows of a benchmark item's template are joined with those
 of all documents by hash; where enough of an item's windows occur in a document,
 the values behind the placeholders must map consistently, so that a
@@ -22,21 +22,25 @@ UNITS = ("km|kg|cm|mm|mg|ml|kb|mb|gb|tb|hz|khz|mhz|ghz|kw|kwh|mph|kmh|m|g|l|s|h|
          "year|years|hour|hours|minute|minutes|second|seconds|meter|meters|metre|metres|kilometer|kilometers|mile|miles|gram|grams|kilogram|"
          "kilograms|liter|liters|litre|litres|dollar|dollars|euro|euros|pound|pounds|cent|cents|percent|degree|degrees|foot|feet|inch|inches")
 # Scripts without spaces between words: each letter is a token.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+UNSPACED = "\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3041-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\x{20000}-\\x{323AF}"
 JOINED = rf"[\p{{L}}\p{{N}}&&[^{UNSPACED}]]"
-NUMBER = rf"(?<!{JOINED})\p{{Nd}}+(?:[.,:]\p{{Nd}}+)*(?!{JOINED})"
-NAMES = r"(?<=[\p{L},;:] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
+NUMBER = rf"(?=\p{{Nd}})(?<!{JOINED})\p{{Nd}}+(?:[.,:]\p{{Nd}}+)*(?!{JOINED})"
+NAME = rf"\p{{Lu}}(?:['’]\p{{Lu}})?\p{{Ll}}+(?:\p{{Lu}}\p{{Ll}}+)*(?!{JOINED})"
+# Names within a sentence, and all capitalised words, those at the start of a sentence, line or quotation included.
+NAMES = rf"(?=\p{{Lu}})(?<=[\p{{L}},;:] ){NAME}(?: {NAME})*"
+CAPITALS = rf"(?=\p{{Lu}})(?<!{JOINED}){NAME}(?: {NAME})*"
 MEASURE = rf"(\u0001n)(?: ?[%€$£]| ?(?i:{UNITS})(?!\p{{L}}))"
 # Placeholders are private signs while a text is cut, so that no text can spell one.
 SIGNS = "[\u0001]"
-SLOT = rf"{NUMBER}|{NAMES}"
+# Forms of a text: names within sentences as slots, words and numbers as they are, all capitalised words as slots.
+INNER, VERBATIM, ALL = 0, 1, 2
 
 
-def template(text: Column) -> Column:
+def template(text: Column, names: str = NAMES) -> Column:
     """The tokens of a text's template: words in lower case, ``\\u0001n`` for a
     number, ``\\u0001m`` for a number with its unit and ``\\u0001p`` for a name."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), SIGNS, " ")
-    marked = F.regexp_replace(plain, NAMES, "\u0001p ")
+    marked = F.regexp_replace(plain, names, "\u0001p ")
     marked = F.regexp_replace(marked, NUMBER, "\u0001n")
     marked = F.regexp_replace(marked, MEASURE, "\u0001m ")
     return words(marked, "\\p{L}\u0001")
@@ -44,7 +48,7 @@ def template(text: Column) -> Column:
 
 def words(text: Column, signs: str) -> Column:
     """Runs of ``signs`` in lower case; letters of unspaced scripts one by one."""
-    apart = F.regexp_replace(F.lower(text), rf"(?=[{UNSPACED}])|(?<=[{UNSPACED}])", " ")
+    apart = F.regexp_replace(F.lower(text), f"([{UNSPACED}])", " $1 ")
     return F.filter(F.split(apart, f"[^{signs}]+"), lambda w: w != "")
 
 
@@ -54,47 +58,76 @@ def verbatim(text: Column) -> Column:
     return words(F.coalesce(text, F.lit("")), "\\p{L}\\p{N}")
 
 
-def hashes(tokens: Column, size: int, way: int) -> Column:
-    """Hashes of all windows of ``size`` tokens; empty if there are fewer. ``way``
-    is 0 for templates and 1 for verbatim tokens, whose hashes must not meet."""
-    each = F.transform(F.sequence(F.lit(0), F.size(tokens) - size), lambda i: F.xxhash64(F.lit(way), F.lit(size), *[F.get(tokens, i + k) for k in range(size)]))
+def hashes(tokens: Column, size: int, form: int) -> Column:
+    """Hashes of all windows of ``size`` tokens; empty if there are fewer. Those of
+    verbatim tokens must not meet those of templates."""
+    seed = F.lit(int(form == VERBATIM))
+    each = F.transform(F.sequence(F.lit(0), F.size(tokens) - size), lambda i: F.xxhash64(seed, F.lit(size), *[F.get(tokens, i + k) for k in range(size)]))
     return F.when(F.size(tokens) >= size, each).otherwise(F.array().cast("array<bigint>"))
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(item_id, way, n, at, h): where each window of ``n`` tokens of an item begins.
+    """(item_id, form, n, at, h): where each window of ``n`` tokens of an item begins.
 
     Items of fewer than ``size`` tokens are one window of all of them."""
     text = F.col("text").cast("string")
-    cut = rows_by_id(benchmark, "item_id", "text").select("item_id", template(text).alias("t"), verbatim(text).alias("v"))
-    worded = F.exists("t", lambda w: ~F.startswith(w, F.lit("\u0001")))
-    tokens = cut.select("item_id", F.when(worded, 0).otherwise(1).alias("way"), F.when(worded, F.col("t")).otherwise(F.col("v")).alias("t"))
+    cut = rows_by_id(benchmark, "item_id", "text").select("item_id", template(text).alias("t"), verbatim(text).alias("v"), template(text, CAPITALS).alias("c"))
+    worded = lambda t: F.exists(t, lambda w: ~F.startswith(w, F.lit("\u0001")))
+    form = lambda k, t: F.struct(F.lit(k).alias("form"), F.col(t).alias("t"))
+    forms = F.array(F.when(worded("t"), form(INNER, "t")).otherwise(form(VERBATIM, "v")), F.when(worded("c") & (F.col("c") != F.col("t")), form(ALL, "c")))
+    tokens = cut.select("item_id", F.explode(forms).alias("f")).where("f is not null").select("item_id", "f.form", "f.t")
     tokens = tokens.withColumn("n", F.least(F.size("t"), F.lit(size))).where("n > 0")
-    hs = F.coalesce(*[F.when((F.col("n") == n) & (F.col("way") == way), hashes(F.col("t"), n, way)) for n in range(1, size + 1) for way in (0, 1)])
-    return tokens.select("item_id", "way", "n", F.posexplode_outer(hs).alias("at", "h"))
+    hs = F.coalesce(*[F.when((F.col("n") == n) & ((F.col("form") == VERBATIM) == (f == VERBATIM)), hashes(F.col("t"), n, f)) for n in range(1, size + 1) for f in (INNER, VERBATIM)])
+    return tokens.select("item_id", "form", "n", F.posexplode_outer(hs).alias("at", "h"))
 
 
-def windows(rows: DataFrame, key: str, sizes: list[tuple[int, int]]) -> DataFrame:
-    """(key, pos, h): hashes of all windows of each (way, n) of ``sizes``.
+def windows(rows: DataFrame, key: str, sizes: dict[int, list[int]]) -> DataFrame:
+    """(key, view, pos, h): hashes of all windows of each text in the forms of
+    ``sizes``, which names the window sizes of each form.
 
     The explodes are outer ones: plain ones would make the optimizer test the
     array's size below, with the tokens cut anew for every window."""
     text = F.col("text").cast("string")
-    tokens = rows.select(key, F.array(template(text), verbatim(text) if any(way for way, _ in sizes) else F.lit(None)).alias("t"))
-    every = F.array(*[hashes(F.get("t", F.lit(way)), n, way) for way, n in sizes])
-    each = tokens.select(key, F.explode_outer(every).alias("hs"))
-    return each.select(key, F.posexplode_outer("hs").alias("pos", "h")).where("h is not null")
+    cut = {INNER: lambda: template(text), VERBATIM: lambda: verbatim(text), ALL: lambda: template(text, CAPITALS)}
+    tokens = rows.select(key, *[cut[f]().alias(f"t{f}") for f in sizes])
+    every = F.array(*[F.struct(F.lit(f).alias("view"), hashes(F.col(f"t{f}"), n, f).alias("hs")) for f in sizes for n in sizes[f]])
+    each = tokens.select(key, F.explode_outer(every).alias("e"))
+    return each.select(key, F.col("e.view").alias("view"), F.posexplode_outer("e.hs").alias("pos", "h")).where("h is not null")
 
 
-def slots(rows: DataFrame, key: str) -> DataFrame:
-    """(key, place, value): the value behind each placeholder and the token it is.
+def slots(rows: DataFrame, key: str, form: str) -> DataFrame:
+    """(key, form, place, value, first): the value behind each placeholder and the
+    token it is, in both template forms; the column's name is ``form``. ``first``
+    is the first word of a value that only its place may have capitalised.
 
     Values are read from the text in the order in which their placeholders stand."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    values = F.regexp_extract_all(F.regexp_replace(text, SIGNS, " "), F.lit(SLOT), 0)
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SIGNS, " ")
     places = F.expr("filter(transform(t, (w, i) -> IF(startswith(w, '\u0001'), i, -1)), i -> i >= 0)")
-    out = rows.select(key, values.alias("v"), template(text).alias("t")).select(key, "v", places.alias("p"))
-    return out.select(key, F.explode(F.arrays_zip("p", "v")).alias("s")).select(key, F.col("s.p").alias("place"), F.lower("s.v").alias("value")).where("place is not null")
+
+    def of(k: int, names: str) -> DataFrame:
+        values = F.regexp_extract_all(text, F.lit(f"{NUMBER}|{names}"), 0)
+        inner = F.split(F.lower(F.array_join(F.regexp_extract_all(text, F.lit(NAMES), 0), " ")), " ")
+        out = rows.select(key, values.alias("v"), template(F.col("text").cast("string"), names).alias("t"), inner.alias("inner")).select(key, "v", places.alias("p"), "inner")
+        each = out.select(key, F.explode(F.arrays_zip("p", "v")).alias("s"), "inner").where("s.p is not null")
+        value = F.lower("s.v")
+        head = F.substring_index(value, " ", 1)
+        first = F.when(F.regexp_like(head, F.lit(r"^\p{L}")) & ~F.array_contains("inner", head), head) if k == ALL else F.lit(None).cast("string")
+        return each.select(key, F.lit(k).alias(form), F.col("s.p").alias("place"), value.alias("value"), first.alias("first"))
+
+    return of(INNER, NAMES).unionAll(of(ALL, CAPITALS))
+
+
+def common_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(first): those of ``words`` that the texts also write in lower case."""
+    used = texts.select(F.explode_outer(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"(?=\p{Ll})(?<![\p{L}\p{N}'’])[\p{L}'’]+"), 0)).alias("first"))
+    return used.join(words, "first", "left_semi").distinct()
+
+
+def split_first(rows: DataFrame, common: DataFrame, plain: str, name: str) -> DataFrame:
+    """Slots whose ``value`` is split into a common first word, if any, and a name."""
+    joined = rows.join(common.withColumn("_common", F.lit(True)), "first", "left")
+    known = F.col("_common").isNotNull()
+    return joined.withColumns({plain: F.when(known, F.col("first")), name: F.when(known, F.expr("substring(value, length(first) + 2)")).otherwise(F.col("value"))}).drop("first", "value", "_common")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = 0.6, agreement: float = 1.0) -> DataFrame:
@@ -103,36 +136,58 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, covera
 
     An item occurs if at least ``coverage`` of the windows of its template do,
     and at least ``agreement`` of its slots agree: each value of the item stands
-    for one value of the document wherever both are aligned. Items without
-    slots agree. Items shorter than a window are one window of their own size,
-    items of placeholders alone are looked for as they are written. Null and
-    empty texts have no windows; an item without words and numbers occurs
-    nowhere. Rows that repeat an id, rows without one and other columns:
-    see ``rows_by_id``.
+    for one value of the document wherever both are aligned. One place that
+    holds ``coverage`` of the windows and agrees is enough; without such a place
+    the one with the most agreeing slots counts. Items without slots agree.
+
+    Capitalised words at the start of a sentence, line or quotation are words in
+    one form of a text and names in another; an item may occur in either. As
+    names they agree with other names, but those the texts also write in lower
+    case only with themselves, unless their own text has them capitalised
+    within a sentence.
+
+    Items shorter than a window are one window of their own size, items of
+    placeholders alone are looked for as they are written. Null and empty texts
+    have no windows; an item without words and numbers occurs nowhere. Rows that
+    repeat an id, rows without one and other columns: see ``rows_by_id``.
     """
     items = written(item_windows(benchmark, size), "items")
-    sizes = sorted((r.way, r.n) for r in items.select("way", "n").distinct().collect())
-    if not sizes:
-        sizes = [(0, size)]
-    totals = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    texts = rows_by_id(docs, "doc_id", "text")
-    placed = windows(texts, "doc_id", sizes)
-    hits = written(placed.join(items, "h").select("doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift")), "hits")
-    found = hits.groupBy("doc_id", "item_id", "at").agg(F.count(F.lit(1)).alias("times")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_found"))
-    likely = written(found.join(totals, "item_id").where(F.col("n_found") >= F.lit(coverage) * F.col("n_windows")), "likely")
-
-    # verbatim items have no slots: their values are part of their windows
-    worded = items.where("way = 0").select("item_id").distinct()
-    asked = written(slots(rows_by_id(benchmark, "item_id", "text").join(worded, "item_id", "left_semi"), "item_id"), "slots")
+    sizes: dict[int, list[int]] = {}
+    for r in items.select("form", "n").distinct().orderBy("form", "n").collect():
+        for f in (VERBATIM,) if r.form == VERBATIM else (INNER, ALL):
+            sizes[f] = sorted({*sizes.get(f, []), r.n})
+    totals = items.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("n_windows"))
+    texts, asking = rows_by_id(docs, "doc_id", "text"), rows_by_id(benchmark, "item_id", "text")
+    placed = windows(texts, "doc_id", sizes or {INNER: [size]})
+    hits = written(placed.join(items.drop("n"), "h").select("doc_id", "item_id", "form", "at", "view", (F.col("pos") - F.col("at")).alias("shift")), "hits")
+    pair = ["doc_id", "item_id", "form"]
+    found = hits.groupBy(*pair, "at").agg(F.count(F.lit(1)).alias("times")).groupBy(*pair).agg(F.count(F.lit(1)).alias("n_found"))
+    likely = written(found.join(totals, ["item_id", "form"]).where(F.col("n_found") >= F.lit(coverage) * F.col("n_windows")), "likely")
+
+    asked = written(slots(asking, "item_id", "form"), "slots")
     # values are looked up only in documents that hold an item with slots
-    pairs = written(likely.join(asked.select("item_id").distinct(), "item_id", "left_semi").select("doc_id", "item_id"), "pairs")
-    given = slots(texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
-    spots = hits.join(pairs, ["doc_id", "item_id"]).join(asked, "item_id").where(f"place between at and at + {size - 1}")
-    spots = spots.select("doc_id", "item_id", F.col("value").alias("theirs"), F.col("place").alias("spot"), (F.col("place") + F.col("shift")).alias("place"), "shift").distinct()
-    met = spots.join(given, ["doc_id", "place"]).groupBy("doc_id", "item_id", "shift", "theirs").agg(
-        F.countDistinct("value").alias("values"), F.countDistinct("spot").alias("spots"))
-    by_shift = met.groupBy("doc_id", "item_id", "shift").agg(F.sum("spots").alias("n_slots"), F.sum(F.when(F.col("values") == 1, F.col("spots")).otherwise(0)).alias("n_agreed"))
-    best = by_shift.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_agreed", "n_slots")).alias("b")).select("doc_id", "item_id", "b.n_slots", "b.n_agreed")
-    out = likely.join(best, ["doc_id", "item_id"], "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_slots", "n_agreed")})
-    return out.where(F.col("n_agreed") >= F.lit(agreement) * F.col("n_slots")).select(
-        "doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"), "n_slots", "n_agreed")
+    pairs = written(likely.join(asked.select("item_id", "form").distinct(), ["item_id", "form"], "left_semi").select(*pair, "n_windows"), "pairs")
+    given = slots(texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "view")
+    near = hits.join(pairs, pair)
+    spots = near.join(asked, ["item_id", "form"]).where(f"place between at and at + {size - 1}")
+    spots = spots.select(*pair, "view", "shift", F.col("place").alias("spot"), (F.col("place") + F.col("shift")).alias("place"), F.col("value").alias("theirs"), F.col("first").alias("their_first")).distinct()
+    met = written(spots.join(given, ["doc_id", "view", "place"]), "met")
+    firsts = written(met.select("first").unionAll(met.select("their_first")).where("first is not null").distinct(), "firsts")
+    common = written(common_words(texts.select("text").unionAll(asking.select("text")), firsts), "common")
+    met = split_first(met, common, "plain", "name").select("*", F.col("theirs").alias("value"), F.col("their_first").alias("first"))
+    met = split_first(met, common, "their_plain", "their_name")
+    alike = F.col("plain").eqNullSafe(F.col("their_plain")) & ((F.col("name") == "") == (F.col("their_name") == ""))
+    place = [*pair, "view", "shift"]
+    by_name = met.groupBy(*place, "their_name").agg(
+        F.countDistinct("name").alias("values"), F.countDistinct("spot").alias("spots"), F.countDistinct(F.when(alike, F.col("spot"))).alias("alike"))
+    by_place = by_name.groupBy(*place).agg(F.sum("spots").alias("n_slots"), F.sum(F.when(F.col("values") == 1, F.col("alike")).otherwise(0)).alias("n_agreed"))
+    whole = near.groupBy(*place).agg((F.countDistinct("at") >= F.lit(coverage) * F.max("n_windows")).alias("whole"))
+    scored = whole.join(by_place, place, "left").where("whole or n_slots is not null").na.fill(0, ["n_slots", "n_agreed"])
+    enough = F.col("n_agreed") >= F.lit(agreement) * F.col("n_slots")
+    best = scored.groupBy(*pair).agg(F.max(F.struct((F.col("whole") & enough).alias("agrees"), "n_agreed", (-F.col("n_slots")).alias("less"))).alias("b"))
+    best = best.select(*pair, (-F.col("b.less")).alias("n_slots"), "b.n_agreed")
+    out = likely.join(best, pair, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_slots", "n_agreed")}).where(enough)
+    # of the forms that occur the first counts
+    names = ["n_windows", "n_found", "n_slots", "n_agreed"]
+    out = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("form", *names)).alias("o")).select("doc_id", "item_id", *[F.col(f"o.{c}").alias(c) for c in names])
+    return out.select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"), "n_slots", "n_agreed")

@@ -70,6 +70,20 @@ def test_short_items_and_unspaced_scripts(spark):
     assert leaks(spark, docs, items) == {(0, 0), (1, 1), (2, 2), (4, 3), (6, 4)}
 
 
+def test_names_at_sentence_starts(spark):
+    items = ["Tom has 5 apples. Tom gives 2 to Ann.", "When Tom counts 5 red pears, McDonald asks O'Neil for 5 more."]
+    docs = ["Anna has 7 apples. Anna gives 3 to Bob.", 'She read: "Anna has 7 apples. Anna gives 3 to Bob."', "Anna has 7 apples. Carl gives 3 to Bob.",
+            "It has 7 apples. It gives 3 to Bob and it stays.", "When Anna counts 6 red pears, Smith asks Lee for 6 more."]
+    assert leaks(spark, docs, items) == {(0, 0), (1, 0), (4, 1)}
+
+
+def test_one_agreeing_place_is_enough(spark):
+    item = "in a very old house there were once 7 black and 8 brown and 5 green and 6 white and 3 red and 3 blue"
+    part = "in a very old house there were once 17 black and 18 brown and 15 green and 16 white"
+    apart = "in a very old house there were once 7 black and 8 brown and 5 green and 6 white and 1 red and 2 blue"
+    assert leaks(spark, [f"{part} or so, but {apart}", apart], [item]) == {(0, 0)}
+
+
 # ---- secrets ---------------------------------------------------------------
 
 
