@@ -11,8 +11,9 @@ windows is settled (``prefix_free`` and ``fm_index``).
   is unique. Of equal contexts all but the first are removed whole. What is left
   to look at are the firsts of anchors with several contexts.
 * Those contexts are dealt to shards by anchor. An anchor with very many
-  contexts is dealt to several shards; what is first within its shard then meets
-  the firsts of the others by a digest of the window.
+  contexts is dealt to several shards of limited size; what is first within its
+  shard then meets the firsts of the others by a digest of the window. Equal
+  contexts of one document are looked at once.
 
 Hot anchors never meet in one task: equal contexts are combined before the
 shuffle, and an anchor with many contexts in one batch is dealt by context, with
@@ -85,11 +86,13 @@ ONE, COPY, HOT, TELL = range(4)  # kinds of anchor rows, in the last bits of the
 
 def found_anchors(docs: DataFrame, units: Callable, grams: Grams, span: int, window: int, context: Callable,
                   other_document: bool, hot: int, segment: int) -> DataFrame:
-    """(anchor, ctx, doc_id, place): every anchor of every document.
+    """(anchor, ctx, doc_id, place, like): every anchor of every document.
 
     ``place`` packs the first window, the anchor's distance from it, the number
     of windows and the kind of row. Within a batch later copies of a context are
-    marked COPY, and anchors with ``hot`` contexts or more HOT, with a TELL row each."""
+    marked COPY, and anchors with ``hot`` contexts or more HOT, with a TELL row each.
+    With ``other_document`` equal contexts of one document share one verdict:
+    all but the first of a batch are COPY and ``like`` is the place of the first."""
 
     def parts(n_units: int) -> Iterator[tuple[int, int]]:
         for s in range(0, max(0, n_units - window + 1), segment):
@@ -103,7 +106,12 @@ def found_anchors(docs: DataFrame, units: Callable, grams: Grams, span: int, win
         copy = np.ones(len(anchor), bool)
         if other_document:
             copy = doc > spread_over(same, doc[same], len(doc))
+            each = group_starts(anchor, ctx, doc)
+            like = spread_over(each, place[each], len(doc))
+            again = ~copy & (like != place)
+            copy |= again
         else:
+            like, again = place, np.zeros(len(anchor), bool)
             copy[same] = False
         by_anchor = group_starts(anchor)
         contexts = np.add.reduceat(np.isin(np.arange(len(anchor)), same).astype(np.int64), by_anchor)
@@ -111,8 +119,9 @@ def found_anchors(docs: DataFrame, units: Callable, grams: Grams, span: int, win
         kind = np.where(copy, COPY, np.where(spread_over(by_anchor, busy, len(anchor)), HOT, ONE))
         tell = by_anchor[busy]
         return pa.record_batch([pa.array(np.concatenate(c)) for c in (
-            (anchor, anchor[tell]), (ctx, ctx[tell]), (doc, doc[tell]), (place << 2 | kind, place[tell] << 2 | TELL))],
-            names=["anchor", "ctx", "doc_id", "place"])
+            (anchor, anchor[tell]), (ctx, ctx[tell]), (doc, doc[tell]), (place << 2 | kind, place[tell] << 2 | TELL))]
+            + [pa.array(np.append(like, like[tell]), mask=np.append(~again, np.ones(len(tell), bool)))],
+            names=["anchor", "ctx", "doc_id", "place", "like"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -132,21 +141,23 @@ def found_anchors(docs: DataFrame, units: Callable, grams: Grams, span: int, win
         if size:
             yield settle_batch(held)
 
-    return docs.mapInArrow(find, "anchor long, ctx long, doc_id long, place long")
+    return docs.mapInArrow(find, "anchor long, ctx long, doc_id long, place long, like long")
 
 
 def candidates(found: DataFrame, other_document: bool, shard_rows: int) -> DataFrame:
-    """(doc_id, place, bucket, split): places to look at have a bucket; at the
-    others all windows are removed."""
+    """(doc_id, place, bucket, split, like): places to look at have a bucket, of at
+    most about ``shard_rows`` rows; those with ``like`` share the verdict of that
+    place; at the others all windows are removed."""
     kind = F.col("place").bitwiseAND(3)
     deal = F.when(kind == COPY, F.xxhash64("doc_id", "place")).when(kind == HOT, F.xxhash64("anchor", "ctx")).otherwise(F.col("anchor"))
-    names = ["doc_id", "place", "bucket", "split"]
+    names = ["doc_id", "place", "bucket", "split", "like"]
 
     def whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         held: list[list[np.ndarray]] = []
         size = 0
         for b in batches:
-            held.append([c.to_numpy() for c in b.columns])
+            like = b.column(4)
+            held.append([c.to_numpy() for c in b.columns[:4]] + [like.fill_null(-1).to_numpy()])
             size += b.num_rows
             if size >= 200_000:
                 rows = [np.concatenate(c) for c in zip(*held)]
@@ -158,10 +169,10 @@ def candidates(found: DataFrame, other_document: bool, shard_rows: int) -> DataF
             yield [np.concatenate(c) for c in zip(*held)]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchor, ctx, doc, place in whole_anchors(batches):
+        for anchor, ctx, doc, place, like in whole_anchors(batches):
             kind = place & 3
             at = np.flatnonzero(kind == COPY)
-            yield pa.record_batch([pa.array(c) for c in (doc[at], place[at] >> 2)] + [pa.nulls(len(at), pa.int64()), pa.array(np.zeros(len(at), bool))], names=names)
+            yield pa.record_batch([pa.array(c) for c in (doc[at], place[at] >> 2)] + [pa.nulls(len(at), pa.int64()), pa.array(np.zeros(len(at), bool)), pa.array(like[at], mask=like[at] < 0)], names=names)
             # copies are settled by their context alone; what follows needs an anchor's other contexts
             at = np.flatnonzero(kind != COPY)
             anchor, ctx, doc, place, kind = (c[at] for c in (anchor, ctx, doc, place, kind))
@@ -186,14 +197,20 @@ def candidates(found: DataFrame, other_document: bool, shard_rows: int) -> DataF
                 later = own & (np.arange(n) != least)
                 look = own & ~later & (told | several)
             split = told | (rows > shard_rows)
-            block = (doc >> 10).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            bucket = np.where(split, mixed(anchor.view(np.uint64) ^ block).view(np.int64), anchor)
+            # the parts of a split anchor meet by window digests, so that any rows may share a bucket
+            bucket, at = anchor.copy(), np.flatnonzero(look & split)
+            if len(at):
+                own_anchor = group_starts(anchor[at])
+                rank = np.arange(len(at)) - spread_over(own_anchor, own_anchor, len(at))
+                chunk = np.flatnonzero(rank % shard_rows == 0)
+                key = mixed(ctx[at][chunk].view(np.uint64)) ^ mixed((doc[at][chunk] << 20 ^ place[at][chunk]).view(np.uint64))
+                bucket[at] = mixed(anchor[at].view(np.uint64) ^ spread_over(chunk, key, len(at))).view(np.int64)
             gone = np.flatnonzero(own & later)
-            yield pa.record_batch([pa.array(doc[gone]), pa.array(place[gone] >> 2), pa.nulls(len(gone), pa.int64()), pa.array(np.zeros(len(gone), bool))], names=names)
-            yield pa.record_batch([pa.array(c[look]) for c in (doc, place >> 2, bucket, split)], names=names)
+            yield pa.record_batch([pa.array(doc[gone]), pa.array(place[gone] >> 2), pa.nulls(len(gone), pa.int64()), pa.array(np.zeros(len(gone), bool)), pa.nulls(len(gone), pa.int64())], names=names)
+            yield pa.record_batch([pa.array(c[look]) for c in (doc, place >> 2, bucket, split)] + [pa.nulls(int(look.sum()), pa.int64())], names=names)
 
     dealt = found.repartition(deal).sortWithinPartitions("anchor", "ctx", "doc_id", "place")
-    return dealt.mapInArrow(choose, "doc_id long, place long, bucket long, split boolean")
+    return dealt.mapInArrow(choose, "doc_id long, place long, bucket long, split boolean, like long")
 
 
 def lowest(doc: np.ndarray, place: np.ndarray, own: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -255,7 +272,7 @@ def repeated_windows(docs: DataFrame, units: Callable, grams: Grams, span: int,
             yield pa.Table.from_batches(rest)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = ["doc_id", "run", "window"]
+        out = ["doc_id", "first", "run", "window"]
         for t in shards(batches):
             t = t.sort_by([("doc_id", "ascending"), ("first", "ascending")])
             texts = t["context"].to_pylist()
@@ -265,22 +282,28 @@ def repeated_windows(docs: DataFrame, units: Callable, grams: Grams, span: int,
             # runs of removed windows, row by row
             edge = np.diff(np.pad(removed & valid, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             (r, s), (_, e) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-            yield pa.record_batch([pa.array(doc[r]), pa.array(first[r] + s << 16 | e - s), pa.nulls(len(r), pa.binary())], names=out)
+            yield pa.record_batch([pa.array(doc[r]), pa.array(first[r]), pa.array(first[r] + s << 16 | e - s), pa.nulls(len(r), pa.binary())], names=out)
             r, k = np.nonzero(valid & ~removed & split[:, None])
             if len(r):
                 keys = [hashlib.blake2b(settle.cut(texts[i], j), digest_size=16).digest() for i, j in zip(r.tolist(), k.tolist())]
-                yield pa.record_batch([pa.array(doc[r]), pa.array(first[r] + k << 16 | 1), pa.array(keys, pa.binary())], names=out)
+                yield pa.record_batch([pa.array(doc[r]), pa.array(first[r]), pa.array(first[r] + k << 16 | 1), pa.array(keys, pa.binary())], names=out)
 
     near = packed(docs).join(marks, "doc_id").mapInArrow(contexts, shape)
     settled = written(near.repartition("bucket").sortWithinPartitions("bucket")
-                      .mapInArrow(decide, "doc_id long, run long, window binary"), "repeats")
+                      .mapInArrow(decide, "doc_id long, first long, run long, window binary"), "repeats")
     open_ = settled.where("window is not null")
-    firsts = open_.groupBy("window").agg(F.min(F.struct("doc_id", "run")).alias("first"))
+    firsts = open_.groupBy("window").agg(F.min(F.struct("doc_id", "run")).alias("least"))
     here = F.struct("doc_id", "run")
-    later = F.col("doc_id") > F.col("first.doc_id") if other_document else here > F.col("first")
-    whole = chosen.where("bucket is null").select("doc_id", F.expr("shiftleft(shiftright(place, 16), 16) | (place & 255)").alias("run"))
-    removed = whole.unionAll(settled.where("window is null").select("doc_id", "run")).unionAll(
-        open_.join(firsts, "window").where(later).select("doc_id", "run"))
+    later = F.col("doc_id") > F.col("least.doc_id") if other_document else here > F.col("least")
+    columns = ["doc_id", "first", "run"]
+    whole = chosen.where("bucket is null and like is null").select(
+        "doc_id", F.expr("shiftright(place, 16)").alias("first"), F.expr("shiftleft(shiftright(place, 16), 16) | (place & 255)").alias("run"))
+    removed = whole.unionAll(settled.where("window is null").select(columns)).unionAll(open_.join(firsts, "window").where(later).select(columns))
+    if other_document:
+        removed = written(removed, "removed")
+        alike = chosen.where("like is not null").selectExpr("doc_id", "shiftright(like, 16) AS first", "shiftright(place, 16) AS here")
+        moved = alike.join(removed, ["doc_id", "first"]).select("doc_id", "first", (F.col("run") + F.expr("shiftleft(here - first, 16)")).alias("run"))
+        removed = removed.unionAll(moved)
     return removed.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 

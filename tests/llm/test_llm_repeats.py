@@ -55,6 +55,16 @@ def test_awkward_rows(spark, module, plain):
     assert module.remove_repeats(brute.empty(spark)).count() == 0
 
 
+def test_a_long_run_of_one_word_is_looked_at_in_small_buckets(spark):
+    rows = [(0, "q " + "0 " * 55 + "r"), (1, "a " + "0 " * 3000 + "b"), (2, "c " + "0 " * 2000 + "d"), (3, "0 " * 40 + "e " + "0 " * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = repeats.found_anchors(docs, fm_index.words_of, fm_index.word_grams, 50 - fm_index.ANCHOR + 1, 50, fm_index.word_context, True, 500, 1 << 18)
+    looked = repeats.candidates(found, True, 20).where("bucket is not null").groupBy("bucket").count().collect()
+    assert looked and max(r["count"] for r in looked) <= 40 and sum(r["count"] for r in looked) < 400
+    got = {r.doc_id: digest(r.kept) for r in fm_index.remove_repeats(docs, shard_rows=20).collect()}
+    assert got == {i: r[-1] for i, r in brute.repeated_words(rows).items()}
+
+
 def test_window_anchors_cover_all_windows():
     g = np.random.default_rng(1).integers(0, 50, 400).astype(np.uint64) << np.uint64(32)
     at, first, n = repeats.window_anchors(g, 30)
