@@ -57,21 +57,12 @@ def matching_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("page_id", "b.rule", "b.verdict")
 
 
-def word_counts(texts: DataFrame, column: str, top: int) -> dict[str, int]:
-    """Counts of the frequent words (a-z, at most 24 letters) over whole texts
-    without their tags.
-
-    Kept are all words with 2^b occurrences or more, for the smallest b that
-    keeps ``top`` words or fewer, so the driver gets no more than that."""
+def word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """(w, n): counts of all words (letters of any script, at most 24) over whole
+    texts without their tags."""
     plain = F.lower(F.regexp_replace(F.col(column).cast("string"), r"<[^>]*>", " "))
-    words = texts.select(F.explode_outer(F.split(plain, r"[^a-z]+")).alias("w"))
-    counts = written(words.where(f"w <> '' and length(w) <= {LONGEST_WORD}").groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
-    sizes = {r.b: r.k for r in counts.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    least, kept = 64, 0
-    while least > 0 and kept + sizes.get(least - 1, 0) <= top:
-        least -= 1
-        kept += sizes.get(least, 0)
-    return {r.w: r.n for r in counts.where(F.floor(F.log2("n")) >= least).collect()}
+    words = texts.select(F.explode_outer(F.split(plain, r"[^\p{L}]+")).alias("w"))
+    return words.where(f"w <> '' and length(w) <= {LONGEST_WORD}").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
 class Segmenter:
@@ -80,10 +71,11 @@ class Segmenter:
     Letters outside the model cost as much as a rare word of their length, so
     unknown runs stay whole rather than fall into letters."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = math.log(sum(counts.values()) or 1)
-        self.cost = {w: total - math.log(n) for w, n in counts.items()}
-        self.unknown = total + math.log(10)
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total`` is the sum of all counts if ``counts`` are a part of them."""
+        weight = math.log(total or sum(counts.values()) or 1)
+        self.cost = {w: weight - math.log(n) for w, n in counts.items()}
+        self.unknown = weight + math.log(10)
         self.seen: dict[str, list[str]] = {}
 
     def words(self, run: str) -> list[str]:
@@ -111,10 +103,28 @@ class Segmenter:
         return out[::-1]
 
 
-def tokens(segmenter: Segmenter, host: str, path: str) -> list[str]:
-    """Words of three letters or more of the host (without its last label) and of the path."""
-    runs = re.findall(r"[^\W\d_]+", f"{host.rpartition('.')[0]} {path.lower()}")
-    return [w for run in runs for w in segmenter.words(run) if len(w) > 2]
+def letter_runs(urls: DataFrame) -> DataFrame:
+    """(page_id, at, run, key): runs of letters of the host (without its last
+    label) and of the path, with a digest as key."""
+    host = F.regexp_extract("host", r"(?s)\A(.*)\.", 1)
+    runs = F.regexp_extract_all(F.lower(F.concat(host, F.lit(" "), "path")), F.lit(r"\p{L}+"), 0)
+    return urls.select("page_id", F.posexplode_outer(runs).alias("at", "run")).where("run is not null").withColumn("key", F.unhex(F.md5("run")))
+
+
+def parts_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, w): the distinct parts of up to 24 letters of each run."""
+    for f in frames:
+        out: list[tuple[bytes, str]] = []
+        for key, run in zip(f["key"], f["run"]):
+            # parts of a stretch at a time; the join's result is made distinct later
+            for s in range(0, len(run), 2048):
+                ends = {run[i:k] for i in range(s, min(s + 2048, len(run))) for k in range(i + 1, min(i + LONGEST_WORD, len(run)) + 1)}
+                out += [(key, w) for w in ends]
+                if len(out) > 100_000:
+                    yield pd.DataFrame(out, columns=["key", "w"])
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=["key", "w"])
 
 
 def examples(text: str) -> list[list[str]]:
@@ -126,43 +136,68 @@ class WordModel:
 
     Block counts come from the block examples. Allow counts come from the allow
     examples and from the corpus' own words, scaled to the weight of the block
-    words, so that a word never seen speaks for neither side."""
-
-    def __init__(self, counts: dict[str, int], block: list[list[str]], allow: list[list[str]], smooth: float = 0.05):
-        blocked = Counter(w for e in block for w in e)
-        weight, total = sum(blocked.values()), sum(counts.values()) or 1
-        allowed = Counter({w: n * weight / total for w, n in counts.items()})
-        allowed.update(w for e in allow for w in e)
-        size = smooth * len(blocked | allowed)
-        shift = math.log((sum(allowed.values()) + size) / (weight + size))
+    words, so that a word never seen speaks for neither side. Of the corpus only
+    the sum ``total`` and the number of distinct words beside the examples,
+    ``others``, are needed; each word's count is given with the word."""
+
+    def __init__(self, total: int, others: int, block: list[list[str]], allow: list[list[str]], smooth: float = 0.05):
+        self.blocked, self.allowed, self.smooth = Counter(w for e in block for w in e), Counter(w for e in allow for w in e), smooth
+        weight = sum(self.blocked.values())
+        self.scale = weight / (total or 1)
+        size = smooth * (len(self.blocked | self.allowed) + others)
+        self.shift = math.log((total * self.scale + sum(self.allowed.values()) + size) / (weight + size))
         self.prior = math.log(len(block) / len(allow))
-        self.odds = {w: math.log((blocked[w] + smooth) / (allowed[w] + smooth)) + shift for w in blocked | allowed}
 
-    def score(self, words: list[str]) -> float:
-        total = self.prior + sum(self.odds.get(w, 0.0) for w in words)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
+    def odds(self, w: str, n: int) -> float:
+        if not n and w not in self.blocked and w not in self.allowed:
+            return 0.0
+        return math.log((self.blocked[w] + self.smooth) / (n * self.scale + self.allowed[w] + self.smooth)) + self.shift
 
+    def score(self, odds: float) -> float:
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.prior + odds))))
 
-def judge(urls: DataFrame, rules: DataFrame, texts: DataFrame, text_column: str, vocabulary: int = 50_000,
+
+def judge(urls: DataFrame, rules: DataFrame, texts: DataFrame, text_column: str,
           block: str = BLOCK_EXAMPLES, allow: str = ALLOW_EXAMPLES) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_score) for rows of ``url_parts``.
 
     Where a rule holds its verdict counts. Otherwise hosts and paths are split
     into words (Viterbi over unigram counts of all words in ``texts``) and
-    naive Bayes decides; even odds allow. Of the counts at most ``vocabulary``
-    frequent words are kept (``word_counts``). An empty table of texts leaves the examples alone.
+    naive Bayes decides; even odds allow. The counts stay a table: each distinct
+    run of letters is joined to those of its own parts. An empty table of texts
+    leaves the examples alone.
     """
-    counts = word_counts(texts, text_column, vocabulary)
     bad, good = examples(block), examples(allow)
-    usual = max(1, sum(counts.values()) // max(1, len(counts)))
-    segmenter = Segmenter({w: usual for e in bad + good for w in e} | counts)
-    model = WordModel(counts, bad, good)
+    named = sorted({w for e in bad + good for w in e})
+    counts = written(word_counts(texts, text_column), "words")
+    n_words, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    present = {r.w for r in counts.where(F.col("w").isin(named)).collect()}
+    usual = max(1, total // max(1, n_words))
+    weight = total + usual * (len(named) - len(present))
+    model = WordModel(total, n_words - len(present), bad, good)
+
+    def run_odds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for run, known in zip(f["run"], f["known"]):
+                own = {k["w"]: int(k["n"]) for k in known} if known is not None else {}
+                words = Segmenter({w: usual for w in named if w not in present} | own, weight).split(run)
+                out.append(sum(model.odds(w, own.get(w, 0)) for w in words if len(w) > 2))
+            yield pd.DataFrame({"key": f["key"], "odds": out})
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            chance = [model.score(tokens(segmenter, h, p)) for h, p in zip(f["host"], f["path"])]
+            chance = [model.score(x) for x in f["_odds"]]
             found = [v if isinstance(v, str) else "block" if x > 0.5 else "allow" for v, x in zip(f["_ruled"], chance)]
             yield pd.DataFrame({"page_id": f["page_id"], "host": f["host"], "path": f["path"], "rule": f["rule"], "verdict": found, "block_score": chance})
 
+    at = letter_runs(urls)
+    runs = written(at.groupBy("key").agg(F.first("run").alias("run")), "runs")
+    known = runs.mapInPandas(parts_of, "key binary, w string").join(counts, "w").groupBy("key").agg(F.collect_set(F.struct("w", "n")).alias("known"))
+    odds = written(runs.join(known, "key", "left").select("key", "run", "known").mapInPandas(run_odds, "key binary, odds double"), "odds")
+    # summed in the order of the runs, so that equal urls score alike
+    sums = at.select("page_id", "at", "key").join(odds, "key").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("at", "odds"))).alias("o"))
+    sums = sums.select("page_id", F.expr("aggregate(o, 0D, (a, x) -> a + x.odds)").alias("_odds"))
     ruled = urls.join(matching_rules(urls, rules), "page_id", "left").withColumnRenamed("verdict", "_ruled")
-    return ruled.mapInPandas(score, "page_id long, host string, path string, rule string, verdict string, block_score double")
+    ready = ruled.join(sums, "page_id", "left").na.fill(0.0, ["_odds"]).select("page_id", "host", "path", "rule", "_ruled", "_odds")
+    return ready.mapInPandas(score, "page_id long, host string, path string, rule string, verdict string, block_score double")

@@ -113,6 +113,16 @@ def test_urls_awkward_rows(spark):
     assert urls.judge(urls.url_parts(pages(spark, [])), rules, frame, "html").count() == 0
 
 
+def test_rare_words_and_other_scripts_count(spark):
+    letters = "abcdefghij"
+    many = " ".join(a + b + c + d + e for a in letters for b in letters for c in letters for d in letters for e in letters[:6])
+    texts = pages(spark, [(1, "http://casinofür.com/", f"{many} für"), (2, "http://xy.com/погодаcasino", "погода")])
+    counts = {r.w: r.n for r in urls.word_counts(texts, "html").collect()}
+    assert len(counts) == 60_002 and counts["für"] == counts["погода"] == 1
+    got = {r.page_id: r.verdict for r in urls.judge(urls.url_parts(texts), spark.createDataFrame([], "host string, path string, verdict string"), texts, "html").collect()}
+    assert got == {1: "block", 2: "block"}
+
+
 def test_viterbi_split():
     s = urls.Segmenter({"cheap": 50, "pills": 20, "on": 90, "line": 40, "online": 60, "i": 100})
     assert s.words("cheappillsonline") == ["cheap", "pills", "online"]
