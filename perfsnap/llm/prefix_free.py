@@ -108,8 +108,9 @@ def remove_repeats(docs: DataFrame, window: int = 100, shard_rows: int = 20_000,
 
     Null text is empty; texts shorter than ``window`` are kept whole. Rows that
     repeat an id, rows without one and other columns: see ``rows_by_id``.
-    Windows are judged on the input. Results are exact: hashes only choose
-    candidates, which are compared byte by byte.
+    Windows are judged on the input. Equal contexts are known by their anchor and
+    a 64-bit digest, windows of hot anchors across shards by a 128-bit digest;
+    all other contexts are compared byte by byte.
     """
     rows = rows_by_id(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     runs = repeated_windows(rows, byte_units, byte_grams, window - TRIGGER + 1, byte_context,
