@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfsnap.llm import fm_index, language, packing, prefix_free, secrets, simhash, templates, token_groups, urls, warc
-from perfsnap.session import scratch_path
+from perfsnap.llm import filter_audit, fm_index, language, packing, prefix_free, secrets, simhash, templates, token_groups, toxicity, urls, warc, whitening
+from perfsnap.session import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -178,3 +178,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     packed = packing.pack(digest, packing.group_count(docs, GROUP_DOCS))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+OP11_SQL = """
+WITH flags AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+   list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+kinds AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+    doc_id > min(doc_id) OVER (PARTITION BY t)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM flags LEFT JOIN kinds USING (doc_id)),
+counted AS (SELECT part, fails, good, toxic, count(*) AS n FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+seen AS (
+  SELECT part, o, step, o[step] AS f, fails, good, toxic, n, fails[o[step]] AS here,
+   len(list_filter(o[1:step - 1], lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS k
+  FROM counted, steps),
+rows AS (
+  SELECT part, o, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT here), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed,
+   coalesce(sum(n) FILTER (here AND gone), 0) AS redundant, coalesce(sum(n) FILTER (here AND k = 1), 0) AS unique_fails,
+   coalesce(sum(n) FILTER (here AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (here AND NOT gone AND toxic), 0) AS toxic_lost
+  FROM seen GROUP BY part, o, step, f)
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i::INT, 1)), '') AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+ redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+ (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM rows
+"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(written(toxicity.labelled(docs, table(spark, sf_dir, "labels")).where(~toxicity.held_out()), "labelled"))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out()).select("doc_id", "held_out", "score", "predicted", "n_hits", "terms")
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
