@@ -10,7 +10,11 @@ re-parameterised question is told from a text that shares its wording by chance.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfsnap.llm.common import rows_by_id
@@ -24,14 +28,16 @@ UNITS = ("km|kg|cm|mm|mg|ml|kb|mb|gb|tb|hz|khz|mhz|ghz|kw|kwh|mph|kmh|m|g|l|s|h|
 # Scripts without spaces between words: each letter is a token.
 UNSPACED = "\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3041-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\x{20000}-\\x{323AF}"
 JOINED = rf"[\p{{L}}\p{{N}}&&[^{UNSPACED}]]"
-NUMBER = rf"(?=\p{{Nd}})(?<!{JOINED})\p{{Nd}}+(?:[.,:]\p{{Nd}}+)*(?!{JOINED})"
-NAME = rf"\p{{Lu}}(?:['’]\p{{Lu}})?\p{{Ll}}+(?:\p{{Lu}}\p{{Ll}}+)*(?!{JOINED})"
+# Patterns repeat single characters only: a repeated group would recurse once for each word of a long run.
+# Parts of a number or of a name of several words are found one by one and joined afterwards.
+NUMBER = rf"\p{{Nd}}(?<!{JOINED}.)\p{{Nd}}*+(?!{JOINED})"
+NAME = rf"(?:['’]\p{{Lu}})?\p{{Ll}}[\p{{Ll}}\p{{Lu}}]*+(?!{JOINED})"
 # Names within a sentence, and all capitalised words, those at the start of a sentence, line or quotation included.
-NAMES = rf"(?=\p{{Lu}})(?<=[\p{{L}},;:] ){NAME}(?: {NAME})*"
-CAPITALS = rf"(?=\p{{Lu}})(?<!{JOINED}){NAME}(?: {NAME})*"
-MEASURE = rf"(\u0001n)(?: ?[%€$£]| ?(?i:{UNITS})(?!\p{{L}}))"
+NAMES = rf"\p{{Lu}}(?<=[\p{{L}},;:] .){NAME}"
+CAPITALS = rf"\p{{Lu}}(?<!{JOINED}.){NAME}"
+UNIT = rf"( ?)([%€$£]|(?i:{UNITS})(?!\p{{L}}))"
 # Placeholders are private signs while a text is cut, so that no text can spell one.
-SIGNS = "[\u0001]"
+SIGNS = "[\u0001-\u0006]"
 # Forms of a text: names within sentences as slots, words and numbers as they are, all capitalised words as slots.
 INNER, VERBATIM, ALL = 0, 1, 2
 
@@ -41,14 +47,18 @@ def template(text: Column, names: str = NAMES) -> Column:
     number, ``\\u0001m`` for a number with its unit and ``\\u0001p`` for a name."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), SIGNS, " ")
     marked = F.regexp_replace(plain, names, "\u0001p ")
+    marked = F.regexp_replace(marked, " \u0001p (?<=\u0001p  \u0001p )", "")
     marked = F.regexp_replace(marked, NUMBER, "\u0001n")
-    marked = F.regexp_replace(marked, MEASURE, "\u0001m ")
+    marked = F.regexp_replace(marked, "[.,:]\u0001n(?<=\u0001n.\u0001n)", "")
+    marked = F.regexp_replace(marked, f"\u0001n{UNIT}", "\u0001m ")
     return words(marked, "\\p{L}\u0001")
 
 
 def words(text: Column, signs: str) -> Column:
-    """Runs of ``signs`` in lower case; letters of unspaced scripts one by one."""
-    apart = F.regexp_replace(F.lower(text), f"([{UNSPACED}])", " $1 ")
+    """Runs of ``signs`` in lower case; letters of unspaced scripts one by one, which
+    texts of one byte a letter do not have."""
+    low = F.lower(text)
+    apart = F.when(F.octet_length(low) > F.length(low), F.regexp_replace(low, f"([{UNSPACED}])", " $1 ")).otherwise(low)
     return F.filter(F.split(apart, f"[^{signs}]+"), lambda w: w != "")
 
 
@@ -59,11 +69,20 @@ def verbatim(text: Column) -> Column:
 
 
 def hashes(tokens: Column, size: int, form: int) -> Column:
-    """Hashes of all windows of ``size`` tokens; empty if there are fewer. Those of
-    verbatim tokens must not meet those of templates."""
+    """Hashes of all windows of ``size`` tokens; empty if there are fewer, null for a
+    window of placeholders alone, which would be found anywhere. Those of verbatim
+    tokens must not meet those of templates."""
     seed = F.lit(int(form == VERBATIM))
-    each = F.transform(F.sequence(F.lit(0), F.size(tokens) - size), lambda i: F.xxhash64(seed, F.lit(size), *[F.get(tokens, i + k) for k in range(size)]))
-    return F.when(F.size(tokens) >= size, each).otherwise(F.array().cast("array<bigint>"))
+    # placeholders are below 4, words anything else
+    each = F.transform(tokens, lambda w: F.when(F.startswith(w, F.lit("\u0001")), F.ascii(F.right(w, F.lit(1))) % 4).otherwise(F.xxhash64(w)))
+
+    def window(one: Column, i: Column) -> Column:
+        parts = [F.get(one, i + k) for k in range(size)]
+        h = F.xxhash64(seed, F.lit(size), *parts)
+        return h if form == VERBATIM else F.when(reduce(or_, [~p.between(0, 3) for p in parts]), h)
+
+    every = F.get(F.transform(F.array(each), lambda one: F.transform(F.sequence(F.lit(0), F.size(one) - size), lambda i: window(one, i))), F.lit(0))
+    return F.when(F.size(tokens) >= size, every).otherwise(F.array().cast("array<bigint>"))
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
@@ -78,7 +97,7 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     tokens = cut.select("item_id", F.explode(forms).alias("f")).where("f is not null").select("item_id", "f.form", "f.t")
     tokens = tokens.withColumn("n", F.least(F.size("t"), F.lit(size))).where("n > 0")
     hs = F.coalesce(*[F.when((F.col("n") == n) & ((F.col("form") == VERBATIM) == (f == VERBATIM)), hashes(F.col("t"), n, f)) for n in range(1, size + 1) for f in (INNER, VERBATIM)])
-    return tokens.select("item_id", "form", "n", F.posexplode_outer(hs).alias("at", "h"))
+    return tokens.select("item_id", "form", "n", F.posexplode_outer(hs).alias("at", "h")).where("h is not null")
 
 
 def windows(rows: DataFrame, key: str, sizes: dict[int, list[int]]) -> DataFrame:
@@ -95,32 +114,61 @@ def windows(rows: DataFrame, key: str, sizes: dict[int, list[int]]) -> DataFrame
     return each.select(key, F.col("e.view").alias("view"), F.posexplode_outer("e.hs").alias("pos", "h")).where("h is not null")
 
 
+def bracketed(text: Column, names: str) -> Column:
+    """The text with its names, numbers and units in brackets of private signs, cut as ``template`` cuts it."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), SIGNS, " ")
+    marked = F.regexp_replace(plain, names, "\u0002$0\u0003")
+    marked = F.regexp_replace(marked, "\u0003 \u0002", " ")
+    marked = F.regexp_replace(marked, NUMBER, "\u0004$0\u0005")
+    marked = F.regexp_replace(marked, "\u0005([.,:])\u0004", "$1")
+    return F.regexp_replace(marked, f"\u0005{UNIT}", "\u0006$2\u0005")
+
+
 def slots(rows: DataFrame, key: str, form: str) -> DataFrame:
-    """(key, form, place, value, first): the value behind each placeholder and the
-    token it is, in both template forms; the column's name is ``form``. ``first``
-    is the first word of a value that only its place may have capitalised.
+    """(key, form, place, kind, value, first): the value behind each placeholder and the
+    token it is, in both template forms; the column's name is ``form``. A number and
+    its unit are two values of one place, so ``kind`` tells names (p), numbers (n)
+    and units (u) apart. ``first`` is the first word of a value that only its place
+    may have capitalised.
 
     Values are read from the text in the order in which their placeholders stand."""
-    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SIGNS, " ")
     places = F.expr("filter(transform(t, (w, i) -> IF(startswith(w, '\u0001'), i, -1)), i -> i >= 0)")
 
     def of(k: int, names: str) -> DataFrame:
-        values = F.regexp_extract_all(text, F.lit(f"{NUMBER}|{names}"), 0)
-        inner = F.split(F.lower(F.array_join(F.regexp_extract_all(text, F.lit(NAMES), 0), " ")), " ")
-        out = rows.select(key, values.alias("v"), template(F.col("text").cast("string"), names).alias("t"), inner.alias("inner")).select(key, "v", places.alias("p"), "inner")
-        each = out.select(key, F.explode(F.arrays_zip("p", "v")).alias("s"), "inner").where("s.p is not null")
-        value = F.lower("s.v")
-        head = F.substring_index(value, " ", 1)
-        first = F.when(F.regexp_like(head, F.lit(r"^\p{L}")) & ~F.array_contains("inner", head), head) if k == ALL else F.lit(None).cast("string")
-        return each.select(key, F.lit(k).alias(form), F.col("s.p").alias("place"), value.alias("value"), first.alias("first"))
+        text = F.col("text").cast("string")
+        values = F.regexp_extract_all(bracketed(text, names), F.lit("[\u0002\u0004][^\u0003\u0005]*+"), 0)
+        out = rows.select(key, values.alias("v"), template(text, names).alias("t")).select(key, "v", places.alias("p"))
+        each = out.select(key, F.explode(F.arrays_zip("p", "v")).alias("s")).where("s.p is not null")
+        value = F.lower(F.expr("substring(s.v, 2)"))
+        named = F.startswith("s.v", F.lit("\u0002"))
+        both = F.when(named, F.array(F.struct(F.lit("p").alias("kind"), value.alias("value")))).otherwise(F.filter(
+            F.array(F.struct(F.lit("n").alias("kind"), F.substring_index(value, "\u0006", 1).alias("value")), F.struct(F.lit("u").alias("kind"), F.get(F.split(value, "\u0006"), F.lit(1)).alias("value"))), lambda s: s["value"].isNotNull()))
+        return each.select(key, F.lit(k).alias(form), F.col("s.p").alias("place"), F.inline(both))
+
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SIGNS, " ")
+    # capitalised within a sentence: the first words of these are names wherever they stand
+    inner = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(NAMES), 0))).alias("head")).select(key, F.lower("head").alias("head"), F.lit(True).alias("_inner")).distinct()
+    every = of(ALL, CAPITALS).withColumn("head", F.when(F.col("kind") == "p", F.substring_index("value", " ", 1))).join(inner, [key, "head"], "left")
+    first = F.when(F.col("_inner").isNull(), F.col("head")).alias("first")
+    return of(INNER, NAMES).withColumn("first", F.lit(None).cast("string")).unionAll(every.select(key, form, "place", "kind", "value", first))
 
-    return of(INNER, NAMES).unionAll(of(ALL, CAPITALS))
+
+# Entries of a table of fixed size that tells most words apart from those looked for.
+BITS = 1 << 16
 
 
 def common_words(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(first): those of ``words`` that the texts also write in lower case."""
-    used = texts.select(F.explode_outer(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"(?=\p{Ll})(?<![\p{L}\p{N}'’])[\p{L}'’]+"), 0)).alias("first"))
-    return used.join(words, "first", "left_semi").distinct()
+    """(first): those of ``words`` that the texts also write in lower case.
+
+    Texts are looked through for words whose hash is in a table of fixed size,
+    so few others leave them; the join settles the rest."""
+    table = np.zeros(BITS, dtype="int8")
+    for r in words.select(F.pmod(F.xxhash64("first"), F.lit(BITS)).alias("at")).distinct().collect():  # at most BITS rows
+        table[r["at"]] = 1
+    held = F.lit(table)
+    known = lambda w: F.get(held, F.pmod(F.xxhash64(w), F.lit(BITS)).cast("int")) == 1
+    found = F.array_distinct(F.filter(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"\p{Ll}(?<![\p{L}\p{N}'’].)[\p{L}'’]*+"), 0), known))
+    return texts.select(F.explode(found).alias("first")).join(words, "first", "left_semi").distinct()
 
 
 def split_first(rows: DataFrame, common: DataFrame, plain: str, name: str) -> DataFrame:
@@ -136,9 +184,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, covera
 
     An item occurs if at least ``coverage`` of the windows of its template do,
     and at least ``agreement`` of its slots agree: each value of the item stands
-    for one value of the document wherever both are aligned. One place that
+    for one value of the document, and each of those for one of the item, wherever
+    both are aligned. Numbers, units and names are slots; windows of placeholders
+    alone do not count. One place that
     holds ``coverage`` of the windows and agrees is enough; without such a place
-    the one with the most agreeing slots counts. Items without slots agree.
+    the one that holds them, else the one with the most agreeing slots, counts. Items without slots agree.
 
     Capitalised words at the start of a sentence, line or quotation are words in
     one form of a text and names in another; an item may occur in either. As
@@ -170,21 +220,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, covera
     given = slots(texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "view")
     near = hits.join(pairs, pair)
     spots = near.join(asked, ["item_id", "form"]).where(f"place between at and at + {size - 1}")
-    spots = spots.select(*pair, "view", "shift", F.col("place").alias("spot"), (F.col("place") + F.col("shift")).alias("place"), F.col("value").alias("theirs"), F.col("first").alias("their_first")).distinct()
-    met = written(spots.join(given, ["doc_id", "view", "place"]), "met")
+    spots = spots.select(*pair, "view", "shift", "kind", F.col("place").alias("spot"), (F.col("place") + F.col("shift")).alias("place"), F.col("value").alias("theirs"), F.col("first").alias("their_first")).distinct()
+    met = written(spots.join(given, ["doc_id", "view", "place", "kind"]), "met")
     firsts = written(met.select("first").unionAll(met.select("their_first")).where("first is not null").distinct(), "firsts")
     common = written(common_words(texts.select("text").unionAll(asking.select("text")), firsts), "common")
     met = split_first(met, common, "plain", "name").select("*", F.col("theirs").alias("value"), F.col("their_first").alias("first"))
     met = split_first(met, common, "their_plain", "their_name")
     alike = F.col("plain").eqNullSafe(F.col("their_plain")) & ((F.col("name") == "") == (F.col("their_name") == ""))
     place = [*pair, "view", "shift"]
-    by_name = met.groupBy(*place, "their_name").agg(
-        F.countDistinct("name").alias("values"), F.countDistinct("spot").alias("spots"), F.countDistinct(F.when(alike, F.col("spot"))).alias("alike"))
-    by_place = by_name.groupBy(*place).agg(F.sum("spots").alias("n_slots"), F.sum(F.when(F.col("values") == 1, F.col("alike")).otherwise(0)).alias("n_agreed"))
+    # of each pair of values how often it stands, then each value's partners on either side
+    paired = met.groupBy(*place, "kind", "their_name", "name").agg(F.countDistinct("spot").alias("spots"), F.countDistinct(F.when(alike, F.col("spot"))).alias("alike"))
+    one = lambda side: F.count(F.lit(1)).over(Window.partitionBy(*place, "kind", side)) == 1
+    paired = paired.withColumns({"theirs_once": one("their_name"), "ours_once": one("name")})
+    by_place = paired.groupBy(*place).agg(F.sum("spots").alias("n_slots"), F.sum(F.when(F.col("theirs_once") & F.col("ours_once"), F.col("alike")).otherwise(0)).alias("n_agreed"))
     whole = near.groupBy(*place).agg((F.countDistinct("at") >= F.lit(coverage) * F.max("n_windows")).alias("whole"))
     scored = whole.join(by_place, place, "left").where("whole or n_slots is not null").na.fill(0, ["n_slots", "n_agreed"])
     enough = F.col("n_agreed") >= F.lit(agreement) * F.col("n_slots")
-    best = scored.groupBy(*pair).agg(F.max(F.struct((F.col("whole") & enough).alias("agrees"), "n_agreed", (-F.col("n_slots")).alias("less"))).alias("b"))
+    best = scored.groupBy(*pair).agg(F.max(F.struct((F.col("whole") & enough).alias("agrees"), "whole", "n_agreed", (-F.col("n_slots")).alias("less"))).alias("b"))
     best = best.select(*pair, (-F.col("b.less")).alias("n_slots"), "b.n_agreed")
     out = likely.join(best, pair, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_slots", "n_agreed")}).where(enough)
     # of the forms that occur the first counts

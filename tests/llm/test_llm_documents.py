@@ -44,9 +44,9 @@ def test_reparameterised_questions(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame([(7, item), (8, None), (9, ""), (7, item)], "item_id long, text string")
     got = {r.doc_id: (r.item_id, r.n_slots, r.n_agreed) for r in templates.find_leaks(d, b).collect()}
-    assert got == {1: (7, 6, 6), 2: (7, 6, 6)}
+    assert got == {1: (7, 8, 8), 2: (7, 8, 8)}  # two names, four numbers, two units
     loose = {r.doc_id: r.n_agreed for r in templates.find_leaks(d, b, agreement=0.0).collect()}
-    assert set(loose) == {1, 2, 3} and loose[3] < 6
+    assert set(loose) == {1, 2, 3} and loose[3] < 8
 
 
 def test_leaks_awkward_rows(spark):
@@ -84,6 +84,41 @@ def test_one_agreeing_place_is_enough(spark):
     assert leaks(spark, [f"{part} or so, but {apart}", apart], [item]) == {(0, 0)}
 
 
+def test_long_runs_of_names_and_numbers(spark):
+    """Patterns work in a loop: a run of any length neither ends the JVM nor is cut."""
+    item = "Then Tim bought 5 red apples and 7 green pears for 3 dollars."
+    runs = ["Word " * 200_000, "1." * 200_000, "AbCd" * 200_000, "O'Neil " * 100_000, "1,2 " * 100_000, "5 kg " * 100_000]
+    docs = [f"{run} Then Ann bought 6 red apples and 9 green pears for 4 euros. {run}" for run in runs]
+    assert leaks(spark, docs, [item]) == {(i, 0) for i in range(len(runs))}
+
+
+def test_slots_stand_for_each_other(spark):
+    items = ["In one box Tim met Ann and then Sue ran and then Leo sat on the bench", "They took 5 kg of it and later they took 7 kg of it to the shop",
+             "the sums of " + " and so on to ".join(map(str, range(101, 131)))]
+    docs = ["In one box Bob met Bob and then Bob ran and then Bob sat on the bench", "They took 4 g of it and later they took 6 hours of it to the shop",
+            "the sums of " + " and so on to ".join(["1"] * 30), "They took 4 g of it and later they took 6 g of it to the shop"]
+    assert leaks(spark, docs, items) == {(3, 1)}
+
+
+def test_recall_of_reparameterised_items(spark):
+    """Items of the table with other names, numbers and units put in, inside other text."""
+    rnd = random.Random(4)
+    words = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF2}/benchmark.parquet' ORDER BY item_id").fetchall()]
+    names, units = ["Tom", "Ann", "Eve", "Max", "Zoe", "Kim", "Lea", "Ben"], ["kg", "km", "hours", "dollars"]
+    items, docs = [], []
+    for t in words:
+        old, new = rnd.sample(names, 4), rnd.sample(range(10, 99), 4)
+        unit = rnd.choice(units)
+        w = [x for x in re.sub(r"[^a-z ]", "", t.lower()).split()]
+        cut = [" ".join(w[i::3][:7]) for i in range(3)]
+        make = lambda a, b, n, m, u: f"One day {a} had {n} {u} of {cut[0]} and so {b} wanted {m} {u} of {cut[1]} while {a} saw {cut[2]}."  # noqa: E731, B023
+        items.append(make(old[0], old[1], new[0], new[1], unit))
+        docs.append(f"some words before it. {make(old[2], old[3], new[2], new[3], rnd.choice(units))} and more words behind it")
+    found = leaks(spark, docs, items)
+    assert sum((i, i) in found for i in range(len(items))) >= 0.9 * len(items)
+    assert all(d == i for d, i in found)
+
+
 # ---- secrets ---------------------------------------------------------------
 
 
