@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfsnap.llm.common import connected, packed, rows_by_id, ship, unpacked
+from perfsnap.llm.common import connected, rows_by_id, ship
 from perfsnap.session import written
 
 ship(sys.modules[__name__])
@@ -120,14 +120,14 @@ def class_heads(docs: DataFrame, size: int, measure: Measure) -> DataFrame:
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
     """(rep, n, tokens, keys): whole sorted sets as packed 64-bit numbers, and the
-    smallest token under each round's order; ``docs`` is (doc_id, z) as ``packed``."""
+    smallest token under each round's order; ``docs`` is (doc_id, text)."""
     types, names = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], ["rep", "n", "tokens", "keys"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for doc, z in zip(b.column("doc_id").to_pylist(), b.column("z")):
-                    s = shingles(unpacked(z), size)
+                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                    s = shingles(text.as_py(), size)
                     keys = np.array([(s * f ^ (s * f >> np.uint64(31))).min() for f in FACTORS[:ROUNDS]])
                     yield doc, len(s), s.tobytes(), keys.view(np.int64)
 
@@ -162,10 +162,10 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[Iterator[dict]]:
-    """Rows of sorted batches, group by group, one at a time."""
+    """Rows of sorted batches, group by group, one at a time; few at once as Python values."""
     from itertools import groupby
 
-    rows = (r for b in batches for r in b.to_pylist())
+    rows = (r for b in batches for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist())
     for _, group in groupby(rows, lambda r: r[key]):
         yield group
 
@@ -245,7 +245,7 @@ def near_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     first = classes.select("rep", "n", F.explode("head").alias("token"))
     seen = shared_tokens(first).groupBy("rep", "n").agg(F.count(F.lit(1)).alias("s"))
     near = written(seen.where(F.col("s") >= measure.column("shared", "n")).select(F.col("rep").alias("doc_id")), "near")
-    sets = written(full_sets(packed(rows).join(near, "doc_id", "left_semi"), size), "sets")
+    sets = written(full_sets(rows.join(near, "doc_id", "left_semi"), size), "sets")
     tokens = written(shared_tokens(exploded(sets)), "tokens")
     enough = tokens.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= measure.column("needed", "n"))
     enough = written(enough.select("rep", "s", (F.col("n") - F.col("s")).alias("own")), "enough")
