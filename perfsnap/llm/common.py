@@ -5,10 +5,11 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfsnap.session import written
@@ -23,6 +24,22 @@ def ship(module: types.ModuleType) -> None:
 ship(sys.modules[__name__])
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of fewer rows for the jobs inside, for rows as long as texts or
+    sets: a batch lies in the JVM and in a worker, once for each task. The caller's
+    setting comes back afterwards."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def rows_by_id(df: DataFrame, key: str, *values: str) -> DataFrame:
     """Only ``key`` and ``values``, one row per key.
 

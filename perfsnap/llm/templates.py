@@ -10,10 +10,6 @@ re-parameterised question is told from a text that shares its wording by chance.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,45 +38,43 @@ SIGNS = "[\u0001-\u0006]"
 INNER, VERBATIM, ALL = 0, 1, 2
 
 
+def joined(marked: Column, between: str, mark: str) -> Column:
+    """Marks of parts, which end with ``\\u0002``, made one where only ``between`` parts them."""
+    return F.replace(marked, F.lit(f"\u0002{between}{mark}"), F.lit(""))
+
+
 def template(text: Column, names: str = NAMES) -> Column:
     """The tokens of a text's template: words in lower case, ``\\u0001n`` for a
     number, ``\\u0001m`` for a number with its unit and ``\\u0001p`` for a name."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), SIGNS, " ")
-    marked = F.regexp_replace(plain, names, "\u0001p ")
-    marked = F.regexp_replace(marked, " \u0001p (?<=\u0001p  \u0001p )", "")
-    marked = F.regexp_replace(marked, NUMBER, "\u0001n")
-    marked = F.regexp_replace(marked, "[.,:]\u0001n(?<=\u0001n.\u0001n)", "")
-    marked = F.regexp_replace(marked, f"\u0001n{UNIT}", "\u0001m ")
-    return words(marked, "\\p{L}\u0001")
+    marked = joined(F.regexp_replace(plain, names, "\u0001p\u0002"), " ", "\u0001p")
+    marked = F.regexp_replace(marked, NUMBER, "\u0001n\u0002")
+    for sign in ".,:":
+        marked = joined(marked, sign, "\u0001n")
+    marked = F.regexp_replace(marked, f"\u0001n\u0002{UNIT}", "\u0001m ")
+    return words(marked, "\\p{L}\u0001", text)
 
 
-def words(text: Column, signs: str) -> Column:
+def words(text: Column, signs: str, given: Column) -> Column:
     """Runs of ``signs`` in lower case; letters of unspaced scripts one by one, which
-    texts of one byte a letter do not have."""
+    texts do not have if one byte a letter is enough for what was ``given``."""
     low = F.lower(text)
-    apart = F.when(F.octet_length(low) > F.length(low), F.regexp_replace(low, f"([{UNSPACED}])", " $1 ")).otherwise(low)
+    apart = F.when(F.octet_length(given) > F.length(given), F.regexp_replace(low, f"([{UNSPACED}])", " $1 ")).otherwise(low)
     return F.filter(F.split(apart, f"[^{signs}]+"), lambda w: w != "")
 
 
 def verbatim(text: Column) -> Column:
     """Words and numbers as they are, for items of placeholders alone: without a
     word of its own such a template would occur in any text with as many numbers."""
-    return words(F.coalesce(text, F.lit("")), "\\p{L}\\p{N}")
+    return words(F.coalesce(text, F.lit("")), "\\p{L}\\p{N}", text)
 
 
 def hashes(tokens: Column, size: int, form: int) -> Column:
-    """Hashes of all windows of ``size`` tokens; empty if there are fewer, null for a
-    window of placeholders alone, which would be found anywhere. Those of verbatim
-    tokens must not meet those of templates."""
+    """Hashes of all windows of ``size`` tokens; empty if there are fewer. Those of
+    verbatim tokens must not meet those of templates."""
     seed = F.lit(int(form == VERBATIM))
-    # placeholders are below 4, words anything else
-    each = F.transform(tokens, lambda w: F.when(F.startswith(w, F.lit("\u0001")), F.ascii(F.right(w, F.lit(1))) % 4).otherwise(F.xxhash64(w)))
-
-    def window(one: Column, i: Column) -> Column:
-        parts = [F.get(one, i + k) for k in range(size)]
-        h = F.xxhash64(seed, F.lit(size), *parts)
-        return h if form == VERBATIM else F.when(reduce(or_, [~p.between(0, 3) for p in parts]), h)
-
+    each = F.transform(tokens, lambda w: F.xxhash64(w))
+    window = lambda one, i: F.xxhash64(seed, F.lit(size), *[F.get(one, i + k) for k in range(size)])
     every = F.get(F.transform(F.array(each), lambda one: F.transform(F.sequence(F.lit(0), F.size(one) - size), lambda i: window(one, i))), F.lit(0))
     return F.when(F.size(tokens) >= size, every).otherwise(F.array().cast("array<bigint>"))
 
@@ -88,7 +82,8 @@ def hashes(tokens: Column, size: int, form: int) -> Column:
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     """(item_id, form, n, at, h): where each window of ``n`` tokens of an item begins.
 
-    Items of fewer than ``size`` tokens are one window of all of them."""
+    Items of fewer than ``size`` tokens are one window of all of them. Windows of
+    placeholders alone are left out: they would be found anywhere."""
     text = F.col("text").cast("string")
     cut = rows_by_id(benchmark, "item_id", "text").select("item_id", template(text).alias("t"), verbatim(text).alias("v"), template(text, CAPITALS).alias("c"))
     worded = lambda t: F.exists(t, lambda w: ~F.startswith(w, F.lit("\u0001")))
@@ -97,7 +92,8 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     tokens = cut.select("item_id", F.explode(forms).alias("f")).where("f is not null").select("item_id", "f.form", "f.t")
     tokens = tokens.withColumn("n", F.least(F.size("t"), F.lit(size))).where("n > 0")
     hs = F.coalesce(*[F.when((F.col("n") == n) & ((F.col("form") == VERBATIM) == (f == VERBATIM)), hashes(F.col("t"), n, f)) for n in range(1, size + 1) for f in (INNER, VERBATIM)])
-    return tokens.select("item_id", "form", "n", F.posexplode_outer(hs).alias("at", "h")).where("h is not null")
+    each = tokens.select("item_id", "form", "n", "t", F.posexplode_outer(hs).alias("at", "h")).where("h is not null")
+    return each.where((F.col("form") == VERBATIM) | worded(F.slice("t", F.col("at") + 1, F.col("n")))).drop("t")
 
 
 def windows(rows: DataFrame, key: str, sizes: dict[int, list[int]]) -> DataFrame:
@@ -162,11 +158,11 @@ def common_words(texts: DataFrame, words: DataFrame) -> DataFrame:
 
     Texts are looked through for words whose hash is in a table of fixed size,
     so few others leave them; the join settles the rest."""
-    table = np.zeros(BITS, dtype="int8")
+    table = bytearray(BITS)
     for r in words.select(F.pmod(F.xxhash64("first"), F.lit(BITS)).alias("at")).distinct().collect():  # at most BITS rows
         table[r["at"]] = 1
-    held = F.lit(table)
-    known = lambda w: F.get(held, F.pmod(F.xxhash64(w), F.lit(BITS)).cast("int")) == 1
+    held = F.expr(f"X'{table.hex()}'")
+    known = lambda w: F.substr(held, F.pmod(F.xxhash64(w), F.lit(BITS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
     found = F.array_distinct(F.filter(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"\p{Ll}(?<![\p{L}\p{N}'’].)[\p{L}'’]*+"), 0), known))
     return texts.select(F.explode(found).alias("first")).join(words, "first", "left_semi").distinct()
 
