@@ -66,6 +66,38 @@ def metric_correlation(metrics: DataFrame, pairs: Sequence[tuple[str, str]], key
     )
 
 
+def metric_series(metrics: DataFrame, sessions: DataFrame, waits: DataFrame, keys: Sequence[str] = DB, places: int = 2) -> DataFrame:
+    """(keys, snap, series, value): CPU, sessions of each wait class and time of each wait event.
+
+    CPU is that of the busiest instance of a snapshot. Values are decimals of
+    ``places``, so that sums of products are exact in any order.
+    """
+    number = lambda c: c.cast(f"decimal(12,{places})").alias("value")
+    cpu = metrics.groupBy(*keys, F.col("snap").cast("bigint").alias("snap")).agg(number(F.max("os_cpu")))
+    by = lambda df, name, prefix, value: df.groupBy(*keys, F.col("SNAP_ID").cast("bigint").alias("snap"), F.concat(F.lit(prefix), name).alias("series")).agg(number(F.sum(value)))
+    every = cpu.withColumn("series", F.lit("cpu")).unionByName(by(sessions, "WAIT_CLASS", "aas ", "AVG_SESS")).unionByName(by(waits, "EVENT_NAME", "wait ", "TOTAL_TIME_S"))
+    return every.filter(F.col("snap").isNotNull() & F.col("series").isNotNull() & F.col("value").isNotNull())
+
+
+def series_relations(series: DataFrame, keys: Sequence[str] = DB) -> DataFrame:
+    """(keys, series_a, series_b, n_snaps, correlation) of any two series of a database
+    over the snapshots that have both; null where one never varies.
+
+    Series meet within their snapshot, which holds few, and leave it as co-moments:
+    sums that combine before and after the shuffle, so a database with very many
+    snapshots is spread over all tasks and read once.
+    """
+    gathered = series.groupBy(*keys, "snap").agg(F.sort_array(F.collect_list(F.struct("series", "value"))).alias("s"))
+    pairs = gathered.select(*keys, F.posexplode("s").alias("i", "a"), "s").select(*keys, "a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+    a, b, n = F.col("a.value"), F.col("b.value"), F.col("n_snaps")
+    sums = {"sa": a, "sb": b, "saa": a * a, "sbb": b * b, "sab": a * b}
+    moments = pairs.groupBy(*keys, F.col("a.series").alias("series_a"), F.col("b.series").alias("series_b")).agg(
+        F.count(F.lit(1)).alias("n_snaps"), *[F.sum(c).alias(name) for name, c in sums.items()])
+    spread = lambda square, total: F.sqrt((n * F.col(square) - F.col(total) * F.col(total)).cast("double"))
+    shared = (n * F.col("sab") - F.col("sa") * F.col("sb")).cast("double")
+    return moments.select(*keys, "series_a", "series_b", "n_snaps", F.try_divide(shared, spread("saa", "sa") * spread("sbb", "sb")).alias("correlation"))
+
+
 def snap_mention(snap: Column | str, end: Column | str) -> Column:
     """How a snapshot is named in text: its number and minute."""
     s = F.col(snap) if isinstance(snap, str) else snap

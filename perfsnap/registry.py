@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from perfsnap.bindings import VIEWS, with_views
 from perfsnap.functions import values
-from perfsnap.operators import analytics, cleaning, health, ranking, rollups
+from perfsnap.operators import analytics, cleaning, health, ranges, ranking, rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,20 +130,37 @@ REQUESTED = """(SELECT r.request_id, t.* FROM v_top_sql t JOIN (
 ) r ON t.db_id = r.db_id AND t.SNAP_ID BETWEEN r.lo AND r.hi) t"""
 
 
-@query("sql_trend_requests", with_views(TREND.format(keys="request_id, db_id", source=REQUESTED), "v_top_sql"))
-def sql_trend_requests(spark, sf_dir):
-    sql = top_sql(spark, sf_dir)
+def all_and_late(sql):
+    """Requests for the whole range of each database and for its second half."""
     whole = rollups.snap_range(sql)
     middle = F.floor((F.col("start_snap") + F.col("end_snap")) / 2).cast("bigint")
-    requests = whole.select(
+    return whole.select(
         "db_id",
         F.inline(F.array(
             F.struct(F.concat("db_id", F.lit("-all")).alias("request_id"), "start_snap", "end_snap"),
             F.struct(F.concat("db_id", F.lit("-late")).alias("request_id"), middle.alias("start_snap"), "end_snap"),
         )),
     )
-    asked = analytics.rows_in_requests(sql, requests)
-    return plain(analytics.sql_trend_over_range(asked, keys=("request_id", "db_id")))
+
+
+@query("sql_trend_requests", with_views(TREND.format(keys="request_id, db_id", source=REQUESTED), "v_top_sql"))
+def sql_trend_requests(spark, sf_dir):
+    sql = top_sql(spark, sf_dir)
+    return plain(ranges.sql_trend_in_requests(sql, all_and_late(sql)))
+
+
+@query("distinct_in_requests", with_views(f"""
+SELECT request_id, db_id, count(distinct SQL_ID) AS exact_sql, count(distinct PARSING_SCHEMA_NAME) AS exact_schemas,
+ true AS sql_within_2_percent, true AS schemas_within_2_percent FROM {REQUESTED} GROUP BY 1, 2""", "v_top_sql"))
+def distinct_in_requests(spark, sf_dir):
+    """Sketches of each range beside the exact counts, and whether they are within 2 %."""
+    sql = top_sql(spark, sf_dir)
+    requests = all_and_late(sql)
+    exact = analytics.rows_in_requests(sql, requests).groupBy("request_id", "db_id").agg(
+        F.count_distinct("SQL_ID").alias("exact_sql"), F.count_distinct("PARSING_SCHEMA_NAME").alias("exact_schemas"))
+    both = exact.join(ranges.distinct_in_requests(sql, requests), ["request_id", "db_id"], "left")
+    near = lambda kind: (F.abs(F.col(f"distinct_{kind}") - F.col(f"exact_{kind}")) <= 0.02 * F.col(f"exact_{kind}")).alias(f"{kind}_within_2_percent")
+    return both.select("request_id", "db_id", "exact_sql", "exact_schemas", near("sql"), near("schemas"))
 
 
 PLAN_CHANGES = """
@@ -165,8 +182,10 @@ def plan_change_detect(spark, sf_dir):
 
 @query("plan_change_snaps", with_views(PLAN_CHANGES.format(source=f"(SELECT * FROM {YEARLY} WHERE SNAP_ID BETWEEN {LOW} AND {HIGH}) r"), "v_top_sql"))
 def plan_change_snaps(spark, sf_dir):
-    """Changed plans within a literal range."""
-    return plain(analytics.detect_sql_plan_changes(yearly(spark, sf_dir), LOW, HIGH, PERIOD))
+    """Changed plans within a literal range, asked for each database and period."""
+    rows = yearly(spark, sf_dir)
+    requests = rows.select(*PERIOD).distinct().select("*", F.lit("r").alias("request_id"), F.lit(LOW).alias("start_snap"), F.lit(HIGH).alias("end_snap"))
+    return plain(ranges.plan_changes_in_requests(rows, requests, PERIOD).drop("request_id"))
 
 
 LABELS = """
@@ -418,6 +437,25 @@ def metric_corr(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("corr_")})
 
 
+RELATIONS = """
+SELECT a.db_id, a.series AS series_a, b.series AS series_b, count(*) AS n_snaps,
+ round(cast(count(*) * sum(a.value * b.value) - sum(a.value) * sum(b.value) as double)
+  / nullif(sqrt(cast(count(*) * sum(a.value * a.value) - sum(a.value) * sum(a.value) as double))
+   * sqrt(cast(count(*) * sum(b.value * b.value) - sum(b.value) * sum(b.value) as double)), 0), 6) AS correlation
+FROM s a JOIN s b ON a.db_id = b.db_id AND a.snap = b.snap AND a.series < b.series GROUP BY 1, 2, 3"""
+
+
+@query("metric_relations", with_views("""
+SELECT * FROM (WITH s AS (
+ SELECT db_id, cast(snap as bigint) AS snap, 'cpu' AS series, cast(max(os_cpu) as decimal(12,2)) AS value FROM v_main_metrics GROUP BY 1, 2
+ UNION ALL SELECT db_id, cast(SNAP_ID as bigint), concat('aas ', WAIT_CLASS), cast(sum(AVG_SESS) as decimal(12,2)) FROM v_aas GROUP BY 1, 2, 3
+ UNION ALL SELECT db_id, cast(SNAP_ID as bigint), concat('wait ', EVENT_NAME), cast(sum(TOTAL_TIME_S) as decimal(12,2)) FROM v_top_wait GROUP BY 1, 2, 3)
+""" + RELATIONS + ") r", "v_main_metrics", "v_aas", "v_top_wait"))
+def metric_relations(spark, sf_dir):
+    series = health.metric_series(metrics(spark, sf_dir), view(spark, sf_dir, "v_aas"), view(spark, sf_dir, "v_top_wait"))
+    return health.series_relations(series).withColumn("correlation", F.round("correlation", 6))
+
+
 @query("snap_mentions", with_views("""
 SELECT db_id, cast(snap as bigint) AS snap, inst,
  concat('SNAP_ID ', cast(snap as varchar), ' (', strftime(end_ts, '%Y-%m-%d %H:%M'), ')') AS mention FROM v_main_metrics""",
