@@ -46,8 +46,9 @@ def _shift(n: Column, k: Column) -> Column:
     return F.call_function("shiftright", n, k)
 
 
-def snap_blocks(top_sql: DataFrame, top: int, keys: Sequence[str] = DB, with_sets: bool = False) -> DataFrame:
-    """Partial aggregates of every SQL in every block up to level ``top`` that it occurs in.
+def snap_blocks(top_sql: DataFrame, top: int, keys: Sequence[str] = DB, with_sets: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """Partial aggregates of every SQL in every block up to level ``top`` that it occurs in,
+    or only in the ``asked`` blocks (keys, level, block).
 
     Rows are summed up per snapshot first, so the levels above work on one row for
     each SQL and snapshot, and again combine before their shuffle.
@@ -59,8 +60,9 @@ def snap_blocks(top_sql: DataFrame, top: int, keys: Sequence[str] = DB, with_set
     sets = [F.collect_set(F.col(c).cast("string")).alias(n) for n, c in SETS.items()] if with_sets else []
     snaps = rows.groupBy(*by, "SNAP_ID").agg(*sums, *extremes, *[F.min(c).alias(n) for n, c in NAMES.items()], *sets)
     level = snaps.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max(top, 0)))))
-    block = _shift(F.col("SNAP_ID").cast("bigint"), F.col("level"))
-    return _merged(level.withColumns({"block": block, "snaps": F.lit(1).cast("bigint")}), [*by, "level", "block"], with_sets)
+    placed = level.withColumns({"block": _shift(F.col("SNAP_ID").cast("bigint"), F.col("level")), "snaps": F.lit(1).cast("bigint")})
+    placed = placed if asked is None else placed.join(asked, [*keys, "level", "block"], "left_semi")
+    return _merged(placed, [*by, "level", "block"], with_sets)
 
 
 def _merged(parts: DataFrame, by: Sequence[str], with_sets: bool) -> DataFrame:
@@ -71,9 +73,14 @@ def _merged(parts: DataFrame, by: Sequence[str], with_sets: bool) -> DataFrame:
         F.min("min_plans").alias("min_plans"), F.max("max_plans").alias("max_plans"), *[F.min(n).alias(n) for n in NAMES], *sets)
 
 
-def in_requests(blocks: DataFrame, requests: DataFrame, top: int, keys: Sequence[str] = DB, with_sets: bool = False) -> DataFrame:
-    """Aggregates of every SQL over the range of each request (``request_id, <keys>, start_snap, end_snap``)."""
-    wanted = range_blocks(requests.select("request_id", *keys, "start_snap", "end_snap"), top)
+def in_requests(top_sql: DataFrame, requests: DataFrame, keys: Sequence[str] = DB, with_sets: bool = False) -> DataFrame:
+    """Aggregates of every SQL over the range of each request (``request_id, <keys>, start_snap, end_snap``).
+
+    A row is summed into the blocks that any request asks for: never more than
+    one of each level, however many ranges hold it."""
+    top = levels_for(requests)
+    wanted = written(range_blocks(requests.select("request_id", *keys, "start_snap", "end_snap"), top), "asked")
+    blocks = snap_blocks(top_sql, top, keys, with_sets, wanted.select(*keys, "level", "block").distinct())
     return _merged(wanted.join(blocks, [*keys, "level", "block"]), ["request_id", *keys, "SQL_ID"], with_sets)
 
 
@@ -104,16 +111,14 @@ def distinct_in_requests(top_sql: DataFrame, requests: DataFrame, keys: Sequence
 
 def sql_trend_in_requests(top_sql: DataFrame, requests: DataFrame, keys: Sequence[str] = DB) -> DataFrame:
     """``sql_trend_over_range`` for every request; of names the smallest counts."""
-    top = levels_for(requests)
-    found = in_requests(written(snap_blocks(top_sql, top, keys), "blocks"), requests, top, keys)
+    found = in_requests(top_sql, requests, keys)
     return found.withColumnsRenamed({"max_plan_change": "max_plan_changes", "max_plans": "plans_seen"}).select(
         "request_id", *keys, "SQL_ID", *NAMES, "snaps", *TREND_SUMS, "max_plan_changes", "plans_seen")
 
 
 def plan_changes_in_requests(top_sql: DataFrame, requests: DataFrame, keys: Sequence[str] = DB) -> DataFrame:
     """``detect_sql_plan_changes`` for every request."""
-    top = levels_for(requests)
-    found = in_requests(written(snap_blocks(top_sql, top, keys, True), "blocks"), requests, top, keys, True)
+    found = in_requests(top_sql, requests, keys, True)
     signs = (F.col("max_plan_change") > 0) | (F.col("max_plans") > 1) | (F.size("plan_hashes") > 1)
     return found.filter(signs).select(
         "request_id", *keys, "SQL_ID", "min_plans", "max_plans", "max_plan_change", "snaps", "total_elapsed_s", "total_cpu_s",

@@ -146,7 +146,29 @@ def all_and_late(sql):
 @query("sql_trend_requests", with_views(TREND.format(keys="request_id, db_id", source=REQUESTED), "v_top_sql"))
 def sql_trend_requests(spark, sf_dir):
     sql = top_sql(spark, sf_dir)
-    return plain(ranges.sql_trend_in_requests(sql, all_and_late(sql)))
+    asked = analytics.rows_in_requests(sql, all_and_late(sql))
+    return plain(analytics.sql_trend_over_range(asked, keys=("request_id", "db_id")))
+
+
+MANY = """(SELECT r.request_id, t.* FROM v_top_sql t JOIN (
+ SELECT concat(db_id, '-', cast(i as varchar(9))) AS request_id, db_id, lo + 7 * i AS lo, lo + 7 * i + 3 * (i % 9) AS hi
+ FROM (SELECT db_id, min(SNAP_ID) AS lo FROM v_top_sql GROUP BY db_id) d, range(12) n(i)
+) r ON t.db_id = r.db_id AND t.SNAP_ID BETWEEN r.lo AND r.hi) t"""
+
+
+def many_ranges(sql):
+    """Twelve overlapping ranges of many lengths for each database."""
+    i = F.explode(F.sequence(F.lit(0), F.lit(11)))
+    start = F.col("lo") + 7 * F.col("i")
+    return sql.groupBy("db_id").agg(F.min("SNAP_ID").alias("lo")).select("db_id", "lo", i.alias("i")).select(
+        F.concat_ws("-", "db_id", F.col("i").cast("string")).alias("request_id"), "db_id", start.alias("start_snap"), (start + 3 * (F.col("i") % 9)).alias("end_snap"))
+
+
+@query("sql_trend_blocks", with_views(TREND.format(keys="request_id, db_id", source=MANY), "v_top_sql"))
+def sql_trend_blocks(spark, sf_dir):
+    """Trends of many overlapping ranges, from blocks of snapshots."""
+    sql = top_sql(spark, sf_dir)
+    return plain(ranges.sql_trend_in_requests(sql, many_ranges(sql)))
 
 
 @query("distinct_in_requests", with_views(f"""
@@ -182,10 +204,15 @@ def plan_change_detect(spark, sf_dir):
 
 @query("plan_change_snaps", with_views(PLAN_CHANGES.format(source=f"(SELECT * FROM {YEARLY} WHERE SNAP_ID BETWEEN {LOW} AND {HIGH}) r"), "v_top_sql"))
 def plan_change_snaps(spark, sf_dir):
-    """Changed plans within a literal range, asked for each database and period."""
-    rows = yearly(spark, sf_dir)
-    requests = rows.select(*PERIOD).distinct().select("*", F.lit("r").alias("request_id"), F.lit(LOW).alias("start_snap"), F.lit(HIGH).alias("end_snap"))
-    return plain(ranges.plan_changes_in_requests(rows, requests, PERIOD).drop("request_id"))
+    """Changed plans within a literal range."""
+    return plain(analytics.detect_sql_plan_changes(yearly(spark, sf_dir), LOW, HIGH, PERIOD))
+
+
+@query("plan_change_blocks", with_views(PLAN_CHANGES.format(source=MANY).replace("period", "request_id"), "v_top_sql"))
+def plan_change_blocks(spark, sf_dir):
+    """Changed plans in many overlapping ranges, from blocks of snapshots."""
+    sql = top_sql(spark, sf_dir)
+    return plain(ranges.plan_changes_in_requests(sql, many_ranges(sql)))
 
 
 LABELS = """

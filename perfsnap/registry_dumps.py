@@ -142,6 +142,48 @@ def parse_status(spark, sf_dir):
     return status.select("source_file", "n_lines", "n_blocks", F.array_join("missing", ",").alias("missing"))
 
 
+# ---- what becomes of lines ------------------------------------------------
+
+# One line per event; some are blank, repeat the header, have a broken key or text after the last column.
+KIND = """CASE WHEN event_type = 'error' THEN 'key' WHEN event_id % 7 = 0 THEN 'blank' WHEN event_id % 11 = 0 THEN 'cut'
+ WHEN event_id % 13 = 0 THEN 'again' WHEN event_id % 17 = 0 THEN 'none' ELSE 'row' END"""
+MEMORY_HEADER = f"{'SNAP_ID':>10} {'INSTANCE_NUMBER':>15} {'SGA':>8}"
+MEMORY_RULE = f"{'-' * 10} {'-' * 15} {'-' * 8}"
+
+
+def broken_lines(spark, sf_dir) -> DataFrame:
+    """A memory section for each user with rows of every kind, and text around it."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("source_file"), "event_id", F.expr(KIND).alias("kind"), "value")
+    row = F.concat_ws(" ", F.lpad(F.when(F.col("kind") == "key", F.lit("3x")).otherwise(F.lit("3000")), 10, " "), F.lpad(F.lit("1"), 15, " "), F.lpad(F.col("value").cast("int").cast("string"), 8, " "))
+    line = (
+        F.when(F.col("kind") == "blank", "   ").when(F.col("kind") == "again", MEMORY_HEADER).when(F.col("kind") == "none", f"{'':40}late")
+        .when(F.col("kind") == "cut", F.concat(row, F.lit("  tail"))).otherwise(row)
+    )
+    last = 1 << 60
+    around = [(0, "notes"), (1, "~~BEGIN-MEMORY~~"), (2, MEMORY_HEADER), (3, MEMORY_RULE), (last, "~~END-MEMORY~~"), (last + 1, "more")]
+    parts = F.array(*[F.struct(F.lit(i).cast("bigint").alias("row_id"), F.lit(t).alias("line")) for i, t in around])
+    body = e.select("source_file", (F.col("event_id") + 10).cast("bigint").alias("row_id"), line.alias("line"))
+    every = body.unionByName(e.select("source_file").distinct().select("source_file", F.inline(parts)))
+    return written(every.select("source_file", F.lit(0).cast("bigint").alias("split_start"), "row_id", "line"), "lines")
+
+
+@query("row_accounting", f"""
+SELECT concat('U', cast(user_id as varchar)) AS source_file, count(*) + 6 AS n_lines, 4 AS n_outside, 2 AS n_header,
+ count(*) FILTER (k = 'blank') AS n_blank, count(*) FILTER (k IN ('key', 'again', 'none')) AS n_rejected, count(*) FILTER (k = 'cut') AS n_cut,
+ count(*) FILTER (k = 'row') AS n_typed, true AS adds_up, count(*) FILTER (k IN ('key', 'again')) AS bad_keys, count(*) FILTER (k IN ('row', 'cut')) AS table_rows
+FROM (SELECT user_id, {KIND} AS k FROM events) e GROUP BY user_id""")
+def row_accounting(spark, sf_dir):
+    """Lines by what becomes of them, beside the rows that the typed table holds."""
+    lines = broken_lines(spark, sf_dir)
+    index = dumps.index_dumps(lines)
+    counts = dumps.account_lines(lines, index)
+    total = sum((F.col(c) for c in counts.columns if c not in ("source_file", "n_lines")), F.lit(0))
+    keys = dumps.rejects(dumps.line_status(lines, index)).groupBy("source_file").agg(F.count_if(F.startswith("reason", F.lit("key "))).alias("bad_keys"))
+    rows = dumps.read_section(lines, index, schemas.MEMORY).groupBy("source_file").agg(F.count(F.lit(1)).alias("table_rows"))
+    out = counts.withColumn("adds_up", total == F.col("n_lines")).join(keys, "source_file", "left").join(rows, "source_file", "left")
+    return out.na.fill(0, ["bad_keys", "table_rows"])
+
+
 # ---- whole dump files -----------------------------------------------------
 
 
