@@ -7,7 +7,6 @@ within the chosen family, two at a time.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 from itertools import combinations
@@ -22,8 +21,14 @@ from perfsnap.llm.common import rows_by_id, ship
 ship(sys.modules[__name__])
 
 SIZE = 4096
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
+
+
+def has_letter(text: str) -> bool:
+    """Whether any sign is a letter; number signs such as ½ or Ⅷ are none."""
+    return any(map(str.isalpha, text))
+
+
 # Families by language code; other codes are a family each.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb yi fy",
@@ -119,7 +124,7 @@ class Model:
             self.within[f] = (sorted(set(own)), one_against_one([rows[i] for i in at], own))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.families or text is None or not LETTER.search(text):
+        if not self.families or text is None or not has_letter(text):
             return UNDETERMINED, 0.0
         v = features(text)
         family, sure = vote(self.first, self.families, v)
@@ -145,7 +150,7 @@ def fit(labelled: DataFrame, max_rows: int = 3000) -> Model:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f = f[[bool(LETTER.search(t)) for t in f["text"]]]
+            f = f[[has_letter(t) for t in f["text"]]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "lang": f["lang"], "v": [sparse(features(t)) for t in f["text"]]})
 
     got = chosen.select("doc_id", "lang", "text").mapInPandas(count, "doc_id long, lang string, v binary").collect()

@@ -60,7 +60,7 @@ def matching_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
     """(w, n): counts of all words (letters of any script, at most 24) over whole
     texts without their tags."""
-    plain = F.lower(F.regexp_replace(F.col(column).cast("string"), r"<[^>]*>", " "))
+    plain = F.lower(F.regexp_replace(F.col(column).cast("string"), r"<[^<>]*>", " "))
     words = texts.select(F.explode_outer(F.split(plain, r"[^\p{L}]+")).alias("w"))
     return words.where(f"w <> '' and length(w) <= {LONGEST_WORD}").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 

@@ -36,13 +36,17 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _field(value: str) -> bytes:
-    """A header value on one line."""
-    return value.replace("%0", "%250").replace("\r", "%0D").replace("\n", "%0A").encode()
+def _address(url: str) -> list[bytes]:
+    """Header lines of a URL: as it is, but for line ends, which are escaped; a URL
+    that has any is also kept whole in a field of its own."""
+    shown = b"WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A").encode()
+    return [shown, b"X-Raw-Target-URI: " + base64.b64encode(url.encode())] if "\r" in url or "\n" in url else [shown]
 
 
-def _value(raw: bytes) -> str:
-    return raw.decode().replace("%0A", "\n").replace("%0D", "\r").replace("%250", "%0")
+def _url(head: dict[bytes, bytes]) -> str | None:
+    if b"X-Raw-Target-URI" in head:
+        return base64.b64decode(head[b"X-Raw-Target-URI"]).decode()
+    return head[b"WARC-Target-URI"].decode() if b"WARC-Target-URI" in head else None
 
 
 def record_bytes(page: int, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
@@ -59,7 +63,7 @@ def record_bytes(page: int, url: str | None, payload: bytes, refers_to: int | No
         b"Content-Length: %d" % len(block),
     ]
     if url is not None:
-        head.append(b"WARC-Target-URI: " + _field(url))
+        head += _address(url)
     if refers_to is not None:
         head += [b"WARC-Refers-To: <urn:page:%d>" % refers_to, b"WARC-Profile: " + SAME_PAYLOAD.encode()]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -169,8 +173,7 @@ def parse_archive(content: bytes) -> Iterator[tuple]:
             if kind == "response" and (len(payload) != n or base32_sha1(payload) != digest):
                 raise ValueError("a payload differs from its digest")
             page, refers = (int(head[k][10:-1]) if k in head else None for k in (b"WARC-Record-ID", b"WARC-Refers-To"))
-            url = _value(head[b"WARC-Target-URI"]) if b"WARC-Target-URI" in head else None
-            yield page, url, kind, refers, payload if kind == "response" else None, n, digest
+            yield page, _url(head), kind, refers, payload if kind == "response" else None, n, digest
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -169,6 +169,10 @@ def test_redaction(spark, forest):
 # ---- languages -------------------------------------------------------------
 
 
+def test_number_signs_are_no_letters():
+    assert not any(map(language.has_letter, ["", "12 ½ ² Ⅷ ٣ _", "!? \n"])) and all(map(language.has_letter, ["½a", "語", "ß", "١ب"]))
+
+
 def test_held_out_accuracy(spark):
     langs = dict(rows_of(SF2, "documents", "doc_id, lang"))
     got = registry.QUERIES["op6_language_id"](spark, SF2).collect()

@@ -48,6 +48,13 @@ def test_archive_awkward_rows(spark, folder, min_bytes):
     assert all(bytes(r.payload) == html[i] for i, r in got.items() if r.record_type == "response")
 
 
+def test_addresses_in_archives_are_unchanged():
+    url = "http://a/b%0Ac%0d?q=100%25"
+    assert b"\r\nWARC-Target-URI: " + url.encode() + b"\r\n" in warc.record_bytes(1, url, b"", None, "2020-01-01T00:00:00Z")
+    broken = warc.record_bytes(1, "http://a/\r\nX: y", b"", None, "2020-01-01T00:00:00Z")
+    assert b"\r\nWARC-Target-URI: http://a/%0D%0AX: y\r\n" in broken and b"\r\nX: y" not in broken
+
+
 def test_empty_archive(spark, folder):
     warc.write_archives(warc.with_revisits(pages(spark, [])), f"{folder}/w")
     assert warc.read_archives(spark, f"{folder}/w").count() == 0
@@ -129,3 +136,8 @@ def test_viterbi_split():
     assert s.words("qqqq") == ["qqqq"] and s.words("") == []
     long = "cheap" * 300
     assert s.words(long) == ["cheap"] * 300
+
+
+def test_open_brackets_are_read_in_linear_time(spark):
+    df = spark.createDataFrame([("<" * 300_000 + " word <b>word</b>",)], "html string")
+    assert {tuple(r) for r in urls.word_counts(df, "html").collect()} == {("word", 2)}
