@@ -343,6 +343,17 @@ def cosine_topk(spark, sf_dir):
     return retrieval.top_similar(table(spark, sf_dir, "embeddings"), queries, 20, doc_id="vec_id")
 
 
+@query("grid_topk", """
+SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])), 6) AS score,
+ cast(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])), 6) DESC, e.vec_id) as int) AS rank
+FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) t WHERE rank <= 5""")
+def grid_topk(spark, sf_dir):
+    """Every twentieth vector asks all others, by the grid that serves very many queries."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = e.where("vec_id % 20 = 0").toDF("query_id", "query_embedding")
+    return retrieval.top_similar(e, queries, 5, doc_id="vec_id", held_bytes=0)
+
+
 @query("filtered_topk", f"""
 SELECT * FROM (SELECT c.label AS query_id, e.vec_id, round(list_cosine_similarity(cast(e.embedding as double[]), c.q), 6) AS score,
  cast(row_number() OVER (PARTITION BY c.label ORDER BY round(list_cosine_similarity(cast(e.embedding as double[]), c.q), 6) DESC, e.vec_id) as int) AS rank
@@ -375,7 +386,25 @@ def range_topk(spark, sf_dir):
     return retrieval.range_hits(store_rows, requests, 20).withColumnRenamed("doc_id", "vec_id")
 
 
-@query("hash_embed_topk")
+PLACES = """(SELECT {id}, {kind} AS kind, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS w FROM {table})"""
+HASHED = f"""
+WITH words AS (SELECT doc_id AS id, kind, w FROM {PLACES.format(id='doc_id', kind="'d'", table='documents')} UNION ALL
+  SELECT item_id, kind, w FROM {PLACES.format(id='item_id', kind="'q'", table='benchmark')}),
+placed AS (SELECT kind, id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 512 AS place, count(*) AS n FROM words GROUP BY ALL),
+weights AS (SELECT place, ln(((SELECT count(*) FROM documents) + 1.0)::DOUBLE / (count(*) + 1.0)::DOUBLE) AS weight FROM placed WHERE kind = 'd' GROUP BY place),
+weighed AS (SELECT kind, id, place, n * coalesce(weight, ln(((SELECT count(*) FROM documents) + 1.0)::DOUBLE)) AS x FROM placed LEFT JOIN weights USING (place)),
+lengths AS (SELECT kind, id, sqrt(sum(x * x)) AS length FROM weighed GROUP BY kind, id),
+units AS (SELECT kind, id, place, (CASE WHEN length > 0 THEN x / length ELSE 0 END)::FLOAT::DOUBLE AS x FROM weighed JOIN lengths USING (kind, id)),
+norms AS (SELECT kind, id, sqrt(sum(x * x)) AS norm FROM units GROUP BY kind, id),
+dots AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.x * d.x) AS dot FROM units q JOIN units d ON q.place = d.place AND q.kind = 'q' AND d.kind = 'd' GROUP BY ALL),
+scored AS (
+  SELECT b.item_id AS query_id, c.doc_id, round(coalesce(CASE WHEN a.norm * e.norm > 0 THEN dot / a.norm / e.norm END, 0.0), 6) AS score
+  FROM benchmark b CROSS JOIN documents c LEFT JOIN dots s ON s.query_id = b.item_id AND s.doc_id = c.doc_id
+  LEFT JOIN norms a ON a.kind = 'q' AND a.id = b.item_id LEFT JOIN norms e ON e.kind = 'd' AND e.id = c.doc_id)
+SELECT * FROM (SELECT query_id, doc_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS int) AS rank FROM scored) t WHERE rank <= 4"""
+
+
+@query("hash_embed_topk", HASHED)
 def hash_embed_topk(spark, sf_dir):
     """Each benchmark passage asks for the documents most like it."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))

@@ -9,7 +9,7 @@ from perfsnap import registry
 SF = "/root/testdata/sf0.001"
 ORACLES = entry_points.oracle_sql()
 # Queries with user functions or the similarity product; all others stay in the JVM.
-PYTHON = {"cosine_topk", "user_embed_topk", "question_contexts", "final_reports"}
+PYTHON = {"cosine_topk", "grid_topk", "hash_embed_topk", "user_embed_topk", "question_contexts", "final_reports"}
 
 
 @pytest.fixture(scope="module")
