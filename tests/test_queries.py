@@ -23,7 +23,7 @@ def test_same_rows_as_sql(spark, con, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     if name in registry.QUERIES:
-        assert ("Python" in plan or "MapInArrow" in plan or "MapInPandas" in plan) == (name in PYTHON)
+        assert ("Python" in plan or "InArrow" in plan or "MapInPandas" in plan) == (name in PYTHON)
     got = compare.spark_rows(df)
     want = compare.duck_rows(con, ORACLES[name])
     assert len(want[1]) > 0
