@@ -164,8 +164,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.compare_with_next(table(spark, sf_dir, "documents"))
-    return found.withColumns({c: simhash.as_text(c) for c in ("fingerprint", "edited_fingerprint")}).drop("next_id")
+    found = written(simhash.compare_with_next(table(spark, sf_dir, "documents")), "compared")
+    near = simhash.near_documents(found.select("doc_id", "fingerprint"), F.col("doc_id") % 20 == 0)
+    texts = found.withColumns({c: simhash.as_text(c) for c in ("fingerprint", "edited_fingerprint")}).drop("next_id")
+    return texts.join(near, "doc_id", "left")
 
 
 GROUP_DOCS = 4096

@@ -274,6 +274,10 @@ def test_fingerprints_and_edits(spark):
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (f"{f:016x}", f"{e:016x}")
         assert (r.near_edited, r.near_next) == (1 - (f ^ e).bit_count() / 64, 1 - (f ^ g).bit_count() / 64)
+    prints = {i: int(r.fingerprint, 16) for i, r in got.items()}
+    for i, r in got.items():
+        close = [j for j, f in prints.items() if (f ^ prints[i]).bit_count() <= 3]
+        assert (r.near_documents, r.near_id) == ((len(close) - 1, min(close)) if i % 20 == 0 else (None, None))
 
 
 def test_fingerprints_awkward_rows(spark):
@@ -302,6 +306,21 @@ def test_block_tables_find_every_near_pair(spark, radius, blocks):
     assert {tuple(r) for r in simhash.near_fingerprints(table, radius, blocks).collect()} == want
 
 
+def test_near_documents_of_copies_and_neighbours(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(5)] + [0]
+    rows = [(i, base[i % 6] ^ sum(1 << b for b in rng.sample(range(64), rng.choice((0, 0, 1, 2, 3, 5))))) for i in range(300)]
+    signed = [(i, p - (1 << 64) if p >> 63 else p) for i, p in rows]
+    table = spark.createDataFrame(signed + [(None, signed[0][1]), (400, None)], "doc_id long, fingerprint long")
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: (r.near_documents, r.near_id) for r in simhash.near_documents(table, F.col("doc_id") % 20 == 0).collect()}
+    close = lambda p: [i for i, q in rows if (p ^ q).bit_count() <= 3]
+    nameless = lambda p: (p ^ rows[0][1]).bit_count() <= 3
+    assert got == {i: (len(close(p)) + nameless(p) - 1, min(close(p))) for i, p in rows if i % 20 == 0}
+    assert simhash.near_documents(table.limit(0), F.col("doc_id") % 20 == 0).count() == 0
+
+
 # ---- packing ---------------------------------------------------------------
 
 
