@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfsnap.llm.common import rows_by_id, ship
+from perfsnap.session import written
 
 ship(sys.modules[__name__])
 
@@ -141,11 +142,18 @@ def fit(labelled: DataFrame, max_rows: int = 3000) -> Model:
     made in tasks. The driver gets ``max_rows`` sparse feature rows of 16 kB at most.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    n = rows.agg(F.countDistinct("lang")).first()[0]
+    # One row a language, as the model itself has.
+    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    n = sizes.count()
     if not n:
         return Model([], [])
+    most = max(1, max_rows // n)
+    # The smallest hashes are looked for below a bound that twice as many rows and some
+    # more are expected under, so that a language of any size sends few rows to its task.
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    few = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(place * F.col("_size") < 2 * most + 100)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= max(1, max_rows // n))
+    ids = few.select("doc_id", "lang").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= most)
     chosen = rows.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -199,15 +199,20 @@ def link_round(leaders: DataFrame, number: int, measure: Measure) -> DataFrame:
 def open_groups(asked: DataFrame, members: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     """Links (a, b) between sets and the groups they asked for.
 
-    ``asked`` is (rep, grp), ``members`` (rep, grp, block)."""
+    ``asked`` is (rep, grp), ``members`` (rep, grp, block). A block that many sets
+    ask for is copied, once for each ``BLOCK`` of them, so a task holds at most one
+    block and compares as many sets with it."""
     blocks = members.select("grp", "block").distinct()
     tokens = sets.select("rep", "tokens")
-    queries = asked.join(blocks, "grp").select("block", "rep").join(tokens, "rep").select("block", F.lit(1).alias("asks"), "rep", "tokens")
-    wanted = asked.select("grp").distinct()
-    opened = members.join(wanted, "grp", "left_semi").join(tokens, "rep").select("block", F.lit(0).alias("asks"), "rep", "tokens")
+    asks = written(asked.join(blocks, "grp").select("block", "rep"), "asks")
+    copies = written(asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("copies")), "copies")
+    queries = asks.join(copies, "block").select(F.xxhash64("block", F.pmod(F.xxhash64("rep"), "copies")).alias("chunk"), "rep")
+    queries = queries.join(tokens, "rep").select("chunk", F.lit(1).alias("asks"), "rep", "tokens")
+    opened = members.join(copies, "block").select("block", "rep", F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy"))
+    opened = opened.select(F.xxhash64("block", "copy").alias("chunk"), "rep").join(tokens, "rep").select("chunk", F.lit(0).alias("asks"), "rep", "tokens")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "block"):
+        for group in _groups(batches, "chunk"):
             own, union, links = [], None, []
             for r in group:
                 s = np.frombuffer(r["tokens"], np.uint64)
@@ -225,7 +230,7 @@ def open_groups(asked: DataFrame, members: DataFrame, sets: DataFrame, measure:
             if links:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
-    rows = opened.unionAll(queries).repartition("block").sortWithinPartitions("block", "asks", "rep")
+    rows = opened.unionAll(queries).repartition("chunk").sortWithinPartitions("chunk", "asks", "rep")
     return rows.mapInArrow(compare, "a long, b long")
 
 

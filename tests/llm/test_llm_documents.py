@@ -231,6 +231,14 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) / len(held) > 0.98
 
 
+def test_training_rows_are_as_many_of_each_language(spark, monkeypatch):
+    docs = [(i, f"text number {i} of {lang}", lang) for i, lang in enumerate(["en"] * 3000 + ["de"] * 400 + ["fr"] * 5)]
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda rows, names: seen.extend(names))
+    language.fit(brute.documents(spark, docs), 90)
+    assert sorted(seen) == ["de"] * 30 + ["en"] * 30 + ["fr"] * 5
+
+
 def test_languages_awkward_rows(spark):
     train = brute.documents(spark, [(i, f"the house number {i} and the tree", "en") for i in range(20)]
                             + [(100 + i, f"das haus nummer {i} und der baum", "de") for i in range(20)]

@@ -89,9 +89,11 @@ def test_token_groups_awkward_rows(spark):
     assert token_groups.near_components(brute.empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("size, percent, edits", [(4, 85, 6), (5, 80, 9)])
-def test_token_groups_near_copies(spark, size, percent, edits):
-    """Chains of near copies, a hot passage in all documents, sizes around the limit."""
+@pytest.mark.parametrize("size, percent, edits, block", [(4, 85, 6, 256), (5, 80, 9, 3)])
+def test_token_groups_near_copies(spark, monkeypatch, size, percent, edits, block):
+    """Chains of near copies, a hot passage in all documents, sizes around the limit;
+    blocks that more sets ask for than a copy of the block serves."""
+    monkeypatch.setattr(token_groups, "BLOCK", block)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     passage, base = [word() for _ in range(40)], [word() for _ in range(150)]
