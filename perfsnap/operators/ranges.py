@@ -55,14 +55,25 @@ def snap_blocks(top_sql: DataFrame, top: int, keys: Sequence[str] = DB, with_set
     """
     rows = top_sql.filter(F.col("SQL_ID").isNotNull() & F.col("SNAP_ID").isNotNull())
     by = [*keys, "SQL_ID"]
+    if asked is not None:
+        # Rows are dealt by snapshot once, as figures, and summed up and joined where they are.
+        rows = rows.select(*by, "SNAP_ID", *TREND_SUMS.values(), "PLAN_CHANGE", "PLANS", *dict.fromkeys([*NAMES.values(), *(SETS.values() if with_sets else [])])).repartition(*keys, "SNAP_ID")
     sums = [F.sum(c).alias(n) for n, c in TREND_SUMS.items()]
     extremes = [F.max("PLAN_CHANGE").alias("max_plan_change"), F.min("PLANS").alias("min_plans"), F.max("PLANS").alias("max_plans")]
     sets = [F.collect_set(F.col(c).cast("string")).alias(n) for n, c in SETS.items()] if with_sets else []
     snaps = rows.groupBy(*by, "SNAP_ID").agg(*sums, *extremes, *[F.min(c).alias(n) for n, c in NAMES.items()], *sets)
-    level = snaps.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max(top, 0)))))
-    placed = level.withColumns({"block": _shift(F.col("SNAP_ID").cast("bigint"), F.col("level")), "snaps": F.lit(1).cast("bigint")})
-    placed = placed if asked is None else placed.join(asked, [*keys, "level", "block"], "left_semi")
-    return _merged(placed, [*by, "level", "block"], with_sets)
+    placed = _in_blocks(snaps, top)
+    if asked is not None:
+        # The blocks of a snapshot are looked up once for all of its SQL, so sums are copied to asked blocks only.
+        held = _in_blocks(top_sql.select(*keys, "SNAP_ID").distinct(), top).join(asked, [*keys, "level", "block"], "left_semi")
+        placed = snaps.join(held, [*keys, "SNAP_ID"]).repartition(*keys, "level", "block")
+    return _merged(placed.withColumn("snaps", F.lit(1).cast("bigint")), [*by, "level", "block"], with_sets)
+
+
+def _in_blocks(df: DataFrame, top: int) -> DataFrame:
+    """Rows once for each level, with the block that holds their snapshot."""
+    level = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max(top, 0)))))
+    return level.withColumn("block", _shift(F.col("SNAP_ID").cast("bigint"), F.col("level")))
 
 
 def _merged(parts: DataFrame, by: Sequence[str], with_sets: bool) -> DataFrame:
