@@ -61,15 +61,23 @@ def upsert_documents(docs: DataFrame, path: str, batch: int | None = None, order
     spark = docs.sparkSession
     number = last_batch(spark, path) + 1 if batch is None else batch
     content = [c for c in docs.columns if c != "doc_id"]
-    prints = docs.withColumn("_print", fingerprint(content))
-    row = F.struct(*[c for c in prints.columns if c != "doc_id"])
+    # Texts and vectors are written as they come. What is to stay is settled on ids and
+    # fingerprints, and whole rows are grouped only of ids that occur twice.
+    load = written(docs.withColumn("_print", fingerprint(content)), "load")
+    row = F.struct(*[c for c in load.columns if c != "doc_id"])
     best = F.struct(*([order] if order else []), "_print")
-    fresh = prints.groupBy("doc_id").agg(F.max_by(row, best).alias("_row")).select("doc_id", "_row.*")
+    twice = written(load.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id"), "twice")
+    same_id = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"])
+    several = load.join(twice, same_id(load, twice), "left_semi").groupBy("doc_id").agg(F.max_by(row, best).alias("_row"))
+    fresh = load.join(twice, same_id(load, twice), "left_anti").unionByName(several.select("doc_id", "_row.*"))
     stored = _all_batches(spark, path)
     if stored is not None:
-        # Joined on the id, by which the documents are already spread.
         earlier = stored.filter(F.col("batch") < number).groupBy("doc_id").agg(F.max_by("_print", "batch").alias("_stored"))
-        changed = F.col("_stored").isNull() | (F.col("_stored") != F.col("_print"))
-        fresh = fresh.join(earlier, "doc_id", "left").filter(changed).drop("_stored")
+        ids = written(fresh.select("doc_id", "_print").join(earlier, "doc_id", "left").withColumn(
+            "_same", F.coalesce(F.col("_stored") == F.col("_print"), F.lit(False))).select("doc_id", "_same"), "ids")
+        n, same = ids.agg(F.count(F.lit(1)), F.count_if("_same")).first()
+        # The shorter of the two lists goes to the rows.
+        few = written(ids.filter("_same" if same < n - same else "NOT _same").select("doc_id"), "few")
+        fresh = fresh.join(few, same_id(fresh, few), "left_anti" if same < n - same else "left_semi")
     fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
     return number
