@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfsnap.functions.labels import bottleneck_labels
-from perfsnap.operators.ranking import first_rows, grouped_row_number
+from perfsnap.operators.ranking import first_rows, grouped_row_number, may_have_large_group
 
 DB = ("db_id",)
 
@@ -47,19 +47,11 @@ def rows_in_requests(df: DataFrame, requests: DataFrame, snap: str = "SNAP_ID",
     return df.join(requests, list(keys)).filter(F.col(snap).between(F.col("start_snap"), F.col("end_snap")))
 
 
-def _first_names(df: DataFrame, by: Sequence[str], order: Sequence[str] | None) -> DataFrame:
-    """First non-null schema, module and command per SQL, in file order or else the smallest.
-
-    The few combinations of names are made distinct first: on texts the
-    aggregates sort their input, and then they sort little.
-    """
-    names = {"schema": "PARSING_SCHEMA_NAME", "module": "MODULE", "command": "COMMAND_NAME"}
+def _first_name(column: str, order: Sequence[str] | None) -> Column:
+    """First non-null value of a name, in file order or else the smallest."""
     if not order:
-        return df.select(*by, *names.values()).distinct().groupBy(*by).agg(*[F.min(c).alias(n) for n, c in names.items()])
-    seen = df.groupBy(*by, *names.values()).agg(F.min(F.struct(*order)).alias("_seen"))
-    return seen.groupBy(*by).agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_seen"))).alias(n) for n, c in names.items()]
-    )
+        return F.min(column)
+    return F.min(F.when(F.col(column).isNotNull(), F.struct(*order, F.col(column).alias("_name"))))["_name"]
 
 
 def sql_trend_over_range(
@@ -68,17 +60,29 @@ def sql_trend_over_range(
     end_snap: int | None = None,
     keys: Sequence[str] = DB,
     order: Sequence[str] | None = None,
+    spread: bool | None = None,
 ) -> DataFrame:
-    """Totals per SQL over a snapshot range. ``ranked_by_elapsed`` sorts them."""
-    df = in_snap_range(top_sql, start_snap, end_snap).filter(F.col("SQL_ID").isNotNull())
+    """Totals per SQL over a snapshot range. ``ranked_by_elapsed`` sorts them.
+
+    Rows are dealt by SQL once; snapshots, sums and names come from one sorted pass
+    over them. With ``spread`` they are not dealt first: for SQL with more rows than
+    one task should sort, which combine before the shuffle, and for rows that are
+    dealt by some of the keys already. Unless it is given, the groups are measured.
+    """
+    names = {"schema": "PARSING_SCHEMA_NAME", "module": "MODULE", "command": "COMMAND_NAME"}
     by = [*keys, "SQL_ID"]
-    totals = df.groupBy(*by).agg(
+    df = in_snap_range(top_sql, start_snap, end_snap)
+    if spread is None:
+        spread = may_have_large_group(df, by)
+    for c in by:
+        df = df.filter(F.col(c).isNotNull())
+    return (df if spread else df.repartition(*by)).groupBy(*by).agg(
+        *[_first_name(c, order).alias(n) for n, c in names.items()],
         F.count_distinct("SNAP_ID").alias("snaps"),
         *[F.sum(c).alias(name) for name, c in TREND_SUMS.items()],
         F.max("PLAN_CHANGE").alias("max_plan_changes"),
         F.max("PLANS").alias("plans_seen"),
     )
-    return _first_names(df, by, order).join(totals, by)
 
 
 def by_elapsed() -> list[Column]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from perfsnap.session import written
 
 MAX_GROUP_ROWS = 2_000_000
+KEY_BUCKETS = 65536
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str | None = None) -> DataFrame:
@@ -62,6 +63,19 @@ def has_large_group(
     return (reduce(DataFrame.unionByName, sizes).agg(F.max("n")).first()[0] or 0) > max_group_rows
 
 
+def may_have_large_group(df: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
+    """Whether a group may have more rows than one task should sort; false only if none has.
+
+    No group has more rows than its bucket of key hashes, and counting buckets
+    shuffles few small rows. The first key alone mostly tells, so it is tried first.
+    """
+    def large(some: Sequence[str]) -> bool:
+        bucket = F.pmod(F.xxhash64(*some), F.lit(KEY_BUCKETS)).alias("bucket")
+        return has_large_group([(df.select(bucket), ["bucket"])], max_group_rows)
+
+    return large(keys[:1]) and (len(keys) == 1 or large(keys))
+
+
 def _number_by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     # The cut points come from a sample, so they are drawn once and the pieces
     # kept: both the sizes and the rows below read the written table.
