@@ -146,8 +146,9 @@ def all_and_late(sql):
 @query("sql_trend_requests", with_views(TREND.format(keys="request_id, db_id", source=REQUESTED), "v_top_sql"))
 def sql_trend_requests(spark, sf_dir):
     sql = top_sql(spark, sf_dir)
-    asked = analytics.rows_in_requests(sql, all_and_late(sql))
-    return plain(analytics.sql_trend_over_range(asked, keys=("request_id", "db_id")))
+    # Dealt by database for the join, rows lie as the totals of each request need them.
+    asked = analytics.rows_in_requests(sql.repartition("db_id"), all_and_late(sql))
+    return plain(analytics.sql_trend_over_range(asked, keys=("request_id", "db_id"), spread=True))
 
 
 MANY = """(SELECT r.request_id, t.* FROM v_top_sql t JOIN (
