@@ -190,6 +190,21 @@ def summarize_top_sql(top_sql: DataFrame, keys: Sequence[str] = DB) -> DataFrame
     )
 
 
+def summarize_ranked(ranked: DataFrame, rank: str, keys: Sequence[str] = DB) -> DataFrame:
+    """``summarize_top_sql`` of rows numbered by ``rank`` per snapshot, in one pass over groups that fit a task."""
+    first = {"top_sql_id": "SQL_ID", "top_elapsed_s": "ELAP_S", "top_cpu_s": "CPU_T_S", "top_execs": "EXECS", "top_buffer_gets": "BUFFER_GETS"}
+    return ranked.groupBy(*keys, "SNAP_ID").agg(
+        F.sum("ELAP_S").alias("total_elapsed_s"),
+        F.sum("CPU_T_S").alias("total_cpu_s"),
+        F.sum("EXECS").alias("total_execs"),
+        F.size(F.collect_set("SQL_ID")).cast("bigint").alias("unique_sql"),
+        F.size(F.collect_set("PARSING_SCHEMA_NAME")).cast("bigint").alias("unique_schemas"),
+        F.count_if(F.col("PLAN_CHANGE") > 0).alias("plan_change_rows"),
+        F.max(F.when(F.col(rank) == 1, F.struct(*first.values()))).alias("_first"),
+        F.coalesce(F.mode("MODULE", True), F.lit("N/A")).alias("top_module"),
+    ).select("*", *[F.col(f"_first.{c}").alias(n) for n, c in first.items()]).drop("_first")
+
+
 def usual_value(df: DataFrame, by: Sequence[str], column: str, name: str) -> DataFrame:
     """Most frequent non-null value per group, the smallest of equally frequent ones.
 

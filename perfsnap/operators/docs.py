@@ -90,6 +90,21 @@ def _side_by_side(parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     return reduce(lambda left, right: left.join(right, [*by, "page"], "full"), parts)
 
 
+def _lists_in_pages(lists: dict[str, tuple[DataFrame, Column]], by: Sequence[str], page_rows: int, separator: str) -> DataFrame:
+    """Pages of several numbered lists as columns, one row per page number.
+
+    Rows of all lists go through one grouping, so lists whose rows lie by ``by`` already
+    are put together where they are and no text is shuffled.
+    """
+    rows = reduce(DataFrame.unionByName, [
+        df.select(*by, F.floor((F.col("_n") - 1) / page_rows).cast("int").alias("page"), F.lit(kind).alias("_kind"), F.struct("_n", text.alias("text")).alias("_row"))
+        for kind, (df, text) in lists.items()])
+    held = rows.groupBy(*by, "page").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("_kind") == kind, F.col("_row")))).alias(kind) for kind in lists])
+    joined = lambda kind: F.array_join(F.transform(kind, lambda r: r["text"]), separator)
+    return held.select(*by, "page", *[F.when(F.size(kind) > 0, joined(kind)).alias(kind) for kind in lists])
+
+
 def _file_order(df: DataFrame, otherwise: Sequence[str]) -> list[Column]:
     return [F.col("line_pos")] if "line_pos" in df.columns else [F.col(c) for c in otherwise]
 
@@ -233,17 +248,23 @@ def snapshot_documents(
 ) -> DataFrame:
     """One document per snapshot and instance, with further pages for long lists."""
     by = [*keys, "SNAP_ID"]
+    # Rows without a key belong to no snapshot.
+    sessions, waits, top_sql = (df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in by)) for df in (sessions, waits, top_sql))
     spread = has_large_group([(sessions, by), (waits, by), (top_sql, by)])
-    parts = [
-        _paged(sessions, by, _file_order(sessions, ["WAIT_CLASS"]), session_text("AVG_SESS"),
-               "sessions", page_rows, spread, "\n"),
-        _paged(waits, by, _file_order(waits, ["EVENT_NAME"]), wait_text(), "waits", page_rows, spread, "\n"),
-        _paged(top_sql, by, analytics.rank_order(top_sql, sql_tie), sql_text(top_sql), "sqls", page_rows, spread, "\n"),
-    ]
-    pages = _side_by_side(parts, by).withColumnRenamed("SNAP_ID", "snap")
-    summary = analytics.summarize_top_sql(top_sql, keys).select(
-        *keys, F.col("SNAP_ID").alias("snap"), summary_text().alias("summary")
-    )
+
+    def numbered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+        return grouped_row_number(df, by, [*order, *[F.asc(c) for c in df.columns]], "_n", spread=spread)
+
+    ranked = numbered(top_sql, analytics.rank_order(top_sql, sql_tie))
+    lists = {
+        "sessions": (numbered(sessions, _file_order(sessions, ["WAIT_CLASS"])), session_text("AVG_SESS")),
+        "waits": (numbered(waits, _file_order(waits, ["EVENT_NAME"])), wait_text()),
+        "sqls": (ranked, sql_text(top_sql)),
+    }
+    pages = _lists_in_pages(lists, by, page_rows, "\n").withColumnRenamed("SNAP_ID", "snap")
+    # Groups that fit a task are summed up where their lists were numbered.
+    totals = analytics.summarize_top_sql(top_sql, keys) if spread else analytics.summarize_ranked(ranked, "_n", keys)
+    summary = totals.select(*keys, F.col("SNAP_ID").alias("snap"), summary_text().alias("summary"))
     have = {c.lower() for c in metrics.columns}
     m = metrics.withColumns({c: F.lit(None).cast("double") for c in METRIC_NUMBERS if c not in have})
     joined = (
