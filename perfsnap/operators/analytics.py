@@ -76,9 +76,11 @@ def sql_trend_over_range(
         spread = may_have_large_group(df, by)
     for c in by:
         df = df.filter(F.col(c).isNotNull())
+    # Of a group that fits a task the snapshots are gathered, which spares two passes of a distinct count.
+    snaps = F.count_distinct("SNAP_ID") if spread else F.size(F.collect_set("SNAP_ID")).cast("bigint")
     return (df if spread else df.repartition(*by)).groupBy(*by).agg(
         *[_first_name(c, order).alias(n) for n, c in names.items()],
-        F.count_distinct("SNAP_ID").alias("snaps"),
+        snaps.alias("snaps"),
         *[F.sum(c).alias(name) for name, c in TREND_SUMS.items()],
         F.max("PLAN_CHANGE").alias("max_plan_changes"),
         F.max("PLANS").alias("plans_seen"),
