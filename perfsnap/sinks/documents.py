@@ -7,6 +7,8 @@ occur in several batches; the newest one counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,12 +53,16 @@ def fingerprint(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def upsert_documents(docs: DataFrame, path: str, batch: int | None = None, order: str | None = None) -> int:
+def upsert_documents(
+    docs: DataFrame, path: str, batch: int | None = None, order: str | None = None,
+    derive: Callable[[DataFrame], DataFrame] | None = None,
+) -> int:
     """Add new documents and new versions; documents already stored as they are stay.
 
     Of an id that occurs twice in ``docs`` the version with the highest ``order``
     is kept, or with equal or no order the one with the highest fingerprint.
-    Returns the batch number; pass it again to repeat a load that failed.
+    Returns the batch number; pass it again to repeat a load that failed. ``derive``
+    adds columns that follow from the others; it sees only the rows that are stored.
     """
     spark = docs.sparkSession
     number = last_batch(spark, path) + 1 if batch is None else batch
@@ -79,5 +85,7 @@ def upsert_documents(docs: DataFrame, path: str, batch: int | None = None, order
         # The shorter of the two lists goes to the rows.
         few = written(ids.filter("_same" if same < n - same else "NOT _same").select("doc_id"), "few")
         fresh = fresh.join(few, same_id(fresh, few), "left_anti" if same < n - same else "left_semi")
+    if derive is not None:
+        fresh = derive(fresh)
     fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
     return number
